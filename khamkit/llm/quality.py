@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from khamkit.llm.common import BLANKS, WORD
 
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     hash of the three; only documents in which two windows agree sort them.
     """
     own = "__quality_"
+    names = [c for c in docs.columns if c not in COUNTS]
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns(
         {
@@ -68,7 +70,9 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
     out = out.withColumn("n_repeat_words", F.when(ranked.isNull(), F.lit(0)).otherwise(covered).cast("long"))
-    return out.drop(*(f"{own}{x}" for x in ("words", "lines", "grams", "sorted")))
+    # A generated row keeps filters on the counts above the expressions they come from: pushed below, they would
+    # repeat them, and within the lambdas once for each word.
+    return out.select(*names, F.explode_outer(F.array(F.struct(*COUNTS))).alias(own)).select(*names, f"{own}.*")
 
 
 def base_failed() -> Column:
@@ -125,8 +129,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     sample (at most ``sample_rows`` rows) serves the order of the rules alone.
     """
     rules = default_rules() if rules is None else rules
-    made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    docs = docs.drop(*(c for c in docs.columns if c in made and c != text))
+    docs = docs.drop(*(c for c in docs.columns if c in (*COUNTS, "base_failed", "kept")))
     sample = counts(docs.select(text).limit(sample_rows), text).drop(text)
     order = ordered(rules, sample, sample_rows)
     counted = counts(docs, text).withColumn("base_failed", base_failed())
