@@ -14,6 +14,11 @@ of bits, a pair within the radius agrees on at least b - radius. Sixteen-bit
 blocks give buckets that agree on 32 bits; a bucket too large to hold is dealt
 again by four-bit blocks, which bounds it at 256 distinct fingerprints.
 A bucket yields the edges of a spanning forest of its links, not its pairs.
+
+One fingerprint finds texts that are all but equal. Where near copies of a
+similarity of 0.8 or more matter, a text gets several independent fingerprints
+(lanes) from remixed hashes of the same shingles, and texts link if they do in
+any lane.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khamkit.llm.common import checkpointed, map_batches, mixed, partitions, texts
@@ -38,66 +43,82 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The majority of each bit over the shingles of ``width`` words; 0 without words."""
+def lane_hashes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """One row a shingle: its hash, and remixed hashes for the further lanes."""
+    more = [mixed(hashes + PIVOTS[lane]) for lane in range(1, lanes)]
+    return np.stack([hashes, *more], axis=1)
+
+
+def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
+    """For each lane the majority of each bit over the shingles of ``width`` words; 0 without words."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * lanes
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(b" ".join(words), SEED)
     line = b" ".join(words)
+    if len(words) <= width:
+        return lane_hashes(np.array([digest(line, SEED)], dtype="<u8"), lanes)[0].tolist()
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     stops = (ends[width - 1 :] - 1).tolist()
     starts = [0, *ends[: len(words) - width].tolist()]
     n = len(stops)
-    votes = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 8192):
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[k : k + 8192], stops[k : k + 8192], strict=True)), dtype="<u8", count=min(8192, n - k))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    votes = np.zeros(64 * lanes, dtype=np.int64)
+    for k in range(0, n, 2048):
+        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[k : k + 2048], stops[k : k + 2048], strict=True)), dtype="<u8", count=min(2048, n - k))
+        bits = np.unpackbits(lane_hashes(hashes, lanes).view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):
+            votes += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8").tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fps) of every row; fps lists the lanes' fingerprints as signed longs."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in texts(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width, lanes) for t in texts(batch.column(1))], dtype=np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return map_batches(docs, [doc_id, text], call, f"doc_id {kind}, fp long")
+    return map_batches(docs, [doc_id, text], call, f"doc_id {kind}, fps array<long>")
+
 
+#: Two of the four 16-bit blocks of a fingerprint, for each of the six choices.
+CHOICES = list(combinations(range(4), 2))
+#: Numbers of the choices of the second dealing start here.
+AGAIN = 1 << 12
 
-def dealt_keys(blocks: int, agree: int, base: str = "fp") -> str:
-    """SQL for an array of one key for each choice of ``agree`` blocks that may be equal."""
-    bits = 64 // blocks
+
+def dealt_keys() -> str:
+    """SQL for an array of a fingerprint's six keys: ``lane`` and the choice in one number, and the chosen blocks."""
     keys = []
-    for k, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << bits) - 1) << (bits * b) for b in chosen)
+    for k, chosen in enumerate(CHOICES):
+        mask = sum(0xFFFF << (16 * b) for b in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(f"struct({k}S as choice, {base} & ({signed}L) as part)")
+        keys.append(f"struct(cast(lane * {len(CHOICES)} + {k} as int) as choice, fp & ({signed}L) as part)")
     return f"array({', '.join(keys)})"
 
 
-#: The bits left over by a choice of two 16-bit blocks are dealt again as eight blocks of four, of which six agree.
+def lane_of(choice: np.ndarray) -> np.ndarray:
+    return np.where(choice < AGAIN, choice, (choice - AGAIN) // 28) // len(CHOICES)
+
+
 def dealt_again(fps: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pairs = list(combinations(range(4), 2))
+    """Rows of a large bucket under 28 keys each: of the bits its choice left open, eight blocks of four, six agree."""
     out = []
-    for c in np.unique(choice):
+    for c in np.unique(choice).tolist():
         own = fps[choice == c]
-        fixed = sum(0xFFFF << (16 * b) for b in pairs[c])
-        free = [b * 4 for b in range(16) if b // 4 not in pairs[c]]
+        chosen = CHOICES[c % len(CHOICES)]
+        fixed = sum(0xFFFF << (16 * b) for b in chosen)
+        free = [b * 4 for b in range(16) if b // 4 not in chosen]
         for k, equal in enumerate(combinations(free, len(free) - RADIUS)):
             mask = fixed | sum(0xF << s for s in equal)
-            out.append((own, np.full(len(own), 64 + int(c) * 28 + k, dtype=np.int16), own & np.uint64(mask)))
+            out.append((own, np.full(len(own), AGAIN + c * 28 + k, dtype=np.int32), own & np.uint64(mask)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (fps[:0], choice[:0], fps[:0])
 
 
 def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest member reached) of the links inside buckets; ``bucket`` is sorted."""
+    """Edges (member, first member reached), as places in ``fps``, of the links inside buckets; ``bucket`` is sorted."""
     n = len(fps)
     tables = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     left, right = [], []
@@ -117,7 +138,7 @@ def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray
         right.append(j[near])
         step += 1
     if not left:
-        return fps[:0], fps[:0]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
     root = np.arange(n)
     while True:
@@ -130,7 +151,7 @@ def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray
             break
         root = new
     member = np.flatnonzero(root != np.arange(n))
-    return fps[member], fps[root[member]]
+    return member, root[member]
 
 
 def bucket_edges(limit: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -139,7 +160,7 @@ def bucket_edges(limit: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]]
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind: int, choice: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(fp), kind, dtype=np.int16)), pa.array(choice.astype(np.int16)), pa.array(part.view(np.int64)), pa.array(fp.view(np.int64))],
+                [pa.array(np.full(len(fp), kind, dtype=np.int16)), pa.array(choice.astype(np.int32)), pa.array(part.view(np.int64)), pa.array(fp.view(np.int64))],
                 names=["kind", "choice", "part", "fp"],
             )
 
@@ -154,9 +175,10 @@ def bucket_edges(limit: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]]
                 if len(again):
                     yield rows(1, key, masked, again)
             small = (size > 1) & ~large
-            a, b = linked(fp[small], bucket[small], radius)
+            own, lane = fp[small], lane_of(choice[small])
+            a, b = linked(own, bucket[small], radius)
             if len(a):
-                yield rows(0, np.zeros(len(a), dtype=np.int16), b, a)
+                yield rows(0, lane[a], own[b], own[a])
 
         held: list[np.ndarray] | None = None
         last_over = None
@@ -194,30 +216,44 @@ def bucket_edges(limit: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that join all distinct fingerprints ``fp`` within ``radius`` into their components."""
+    """Edges (lane, a, b) that join the distinct rows (lane, fp) of a lane within ``radius`` into their components."""
     if radius != RADIUS:
         raise ValueError("the block choices are laid out for a radius of 2")
     n = partitions(fps.sparkSession)
-    schema = "kind short, choice short, part long, fp long"
-    keyed = fps.select("fp", F.explode(F.expr(dealt_keys(4, 2))).alias("key")).select("key.choice", "key.part", "fp")
+    schema = "kind short, choice int, part long, fp long"
+    keyed = fps.select("fp", F.explode(F.expr(dealt_keys())).alias("key")).select("key.choice", "key.part", "fp")
     first = keyed.repartition(n, "choice", "part").sortWithinPartitions("choice", "part", "fp").mapInArrow(bucket_edges(BUCKET, radius), schema)
     first = checkpointed(first)
     again = first.where("kind = 1").select("choice", "part", "fp")
     second = again.repartition(n, "choice", "part").sortWithinPartitions("choice", "part", "fp").mapInArrow(bucket_edges(1 << 30, radius), schema)
-    return first.where("kind = 0").union(second).select(F.col("fp").alias("a"), F.col("part").alias("b"))
+    return first.where("kind = 0").union(second).select(F.col("choice").alias("lane"), F.col("fp").alias("a"), F.col("part").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of the group.
+def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of the group, fp the first lane's.
 
     Null and blank texts have fingerprint zero and link like any other. Null
     ids are never smallest; a group of null ids only has a null component.
     Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, width, doc_id, text))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct.select("fp")))
-    grouped = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = checkpointed(fingerprints(docs, width, lanes, doc_id, text))
+    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", node()))
+    spread = distinct.select("node", F.posexplode("fps").alias("lane", "fp"))
+    # The first node of each fingerprint stands for all that share it.
+    held = checkpointed(spread.groupBy("lane", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    shared = spread.join(held.where("n > 1"), ["lane", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    found = links(held.select("lane", "fp"))
+    for end in ("a", "b"):
+        rep = held.select("lane", F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+        found = found.join(rep, ["lane", end])
+    edges = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    reached = components(edges.union(shared) if lanes > 1 else edges).select(F.col("node").alias("at"), "root")
+    grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = grouped.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = grouped.select("node", "root").join(lowest, "root").select("node", "component_id")
+    return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
+
+
+def node() -> Column:
+    """One long for the fingerprints of a row: the fingerprint itself where there is one lane."""
+    return F.when(F.size("fps") == 1, F.element_at("fps", 1)).otherwise(F.xxhash64("fps"))
