@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khamkit.llm import licenses, sketches, urls
+import corpus_pipeline
+from khamkit.llm import licenses, sketches, toxicity, urls, wrappers
 from khamkit.llm.common import table
 from khamkit.llm.mixing import Mixture
-from khamkit.llm.packing import packed
+from khamkit.llm.packing import packed, tokenizer_path
 from khamkit.llm.quality import quality_rules
 from khamkit.llm.simhash import near_duplicates
 from khamkit.llm.substring import substring_dedup
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """A file of the public tokenizers; KHAMKIT_TOKENIZERS names another folder."""
-    folder = os.environ.get("KHAMKIT_TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -69,6 +59,17 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.listed(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -83,7 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_fingerprints": op6_fingerprints,
         "op7_urls": op7_urls,
+        "op8_toxicity": op8_toxicity,
+        "op9_html": op9_html,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
