@@ -7,33 +7,471 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khamkit.functions import tokens as tok
+from khamkit.functions import amounts, text
+from khamkit.functions.segment import Lexicon
+from khamkit.functions.text import TextFunctions
+from khamkit.functions.tokens import plain_tokens, plain_words
+from khamkit.operators import corpus
+from khamkit.operators import lexicon as lexicons
+from khamkit.sources.lexicons import model_lexicon, packaged
 from khamkit.sources.tables import table
 
-#: The token pattern for text outside the Thai block.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: The token pattern for text outside the Thai block, white space, and markup, as DuckDB reads them.
 SQL_TOKEN = (
     r"(?:[a-zA-Z]+(?:[-_''][a-zA-Z0-9]+)*|\p{Nd}+(?:,\p{Nd}+)*(?:\.\p{Nd}+)?%?"
     r"|[ \t]+|\r?\n|[^\x{0E00}-\x{0E7F}a-zA-Z0-9 \t\r\n])"
 )
+SQL_BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+SQL_MARKUP = r"(?si:<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[a-zA-Z/!?][^>]*>|&[a-zA-Z0-9#]+;)"
+
+
+def sql_tokens(column: str) -> str:
+    return f"regexp_extract_all({column}, '{SQL_TOKEN}')"
+
+
+def sql_words(column: str) -> str:
+    return f"list_filter({sql_tokens(column)}, lambda t: NOT regexp_full_match(t, '{SQL_BLANK}'))"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+
+    return add
+
 
+def functions(spark: SparkSession) -> TextFunctions:
+    """The text functions over the packaged lexicon."""
+    return TextFunctions(model_lexicon(packaged(spark)))
 
+
+def exploded(spark: SparkSession, sf_dir: str, blanks: bool = False) -> DataFrame:
+    """(doc_id, pos, token) of documents, natively."""
+    tokens = plain_tokens("text") if blanks else plain_words("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens).alias("pos", "token"))
+
+
+# Segmentation.
+
+
+@query("word_counts_topk", f"""
+    WITH t AS (SELECT unnest({sql_words("text")}) AS token FROM documents)
+    SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 100""")
 def word_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 most frequent tokens, ties by token."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.explode(tok.plain_words("text")).alias("token"))
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = corpus.word_counts(exploded(spark, sf_dir)).withColumnRenamed("word", "token")
     return counts.orderBy(F.desc("n"), "token").limit(100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "word_counts_topk": word_counts_topk,
-}
+@query("tokens_per_doc", f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens, len({sql_words('text')}) AS n_words FROM documents")
+def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(plain_tokens("text")).cast("long").alias("n_tokens"), F.size(plain_words("text")).cast("long").alias("n_words"))
+
+
+@query("tokens_exploded", f"""
+    WITH t AS (SELECT conv_id, turn, {sql_words("text")} AS w FROM conversations)
+    SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS token FROM t""")
+def tokens_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.posexplode(plain_words("text")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("tokens_lattice", f"SELECT item_id, array_to_string({sql_words('text')}, ' ') AS tokens FROM benchmark")
+def tokens_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segmenter itself, which outside Thai must find the pattern's tokens."""
+    return table(spark, sf_dir, "benchmark").select("item_id", functions(spark).join("text", " ").alias("tokens"))
+
+
+@query("tokens_fast_path", f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS tokens FROM documents")
+def tokens_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without Thai letters stay in the JVM."""
+    rows = functions(spark).tokens_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("tokenize_roundtrip", f"SELECT doc_id, array_to_string({sql_tokens('text')}, '') = text AS same FROM documents")
+def tokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.array_join(plain_tokens("text"), "") == F.col("text")).alias("same"))
+
+
+@query("spans_per_item", f"SELECT item_id, len({sql_tokens('text')}) AS n_spans, length(text) AS covered, 0 AS n_oov FROM benchmark")
+def spans_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = functions(spark).spans("text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", spans.alias("s"))
+    return rows.select("item_id", F.size("s").cast("long").alias("n_spans"), F.element_at("s", -1)["end"].cast("long").alias("covered"), F.size(F.filter("s", lambda x: x["is_oov"])).cast("int").alias("n_oov"))
+
+
+@query("join_tokens", f"SELECT item_id, array_to_string({sql_words('text')}, '|') AS joined FROM benchmark")
+def join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(plain_words("text"), "|").alias("joined"))
+
+
+def boundary_sql(unit: str) -> str:
+    return f"""
+    WITH t AS (SELECT item_id, list_transform({sql_tokens("text")}, lambda x: {unit}) AS sizes FROM benchmark),
+    u AS (SELECT item_id, 0 AS pos, 0 AS size FROM t UNION ALL SELECT item_id, unnest(range(1, len(sizes) + 1)), unnest(sizes) FROM t)
+    SELECT item_id, pos, sum(size) OVER (PARTITION BY item_id ORDER BY pos)::BIGINT AS at FROM u"""
+
+
+def boundaries(unit: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(functions(spark).boundaries("text", unit)).alias("pos", "at"))
+        return rows.select("item_id", F.col("pos").cast("long").alias("pos"), F.col("at").cast("long").alias("at"))
+
+    return run
+
+
+query("boundaries_char", boundary_sql("length(x)"))(boundaries("char"))
+query("boundaries_byte", boundary_sql("strlen(x)"))(boundaries("byte"))
+query("boundaries_utf16", boundary_sql(r"length(x) + length(regexp_replace(x, '[^\x{10000}-\x{10FFFF}]', '', 'g'))"))(boundaries("utf16"))
+
+
+@query("boundary_lookup", f"""
+    WITH t AS (SELECT item_id, list_prepend(0, list_transform({sql_tokens("text")}, lambda x: length(x))) AS s FROM benchmark),
+    b AS (SELECT item_id, list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i])::BIGINT) AS b FROM t)
+    SELECT item_id, list_min(list_filter(b, lambda x: x > 40)) AS following, list_max(list_filter(b, lambda x: x < 40)) AS preceding,
+           list_contains(b, 40) AS is_boundary, b[1] AS first, b[-1] AS last FROM b""")
+def boundary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundaries around offset 40, and the ends."""
+    b = F.col("b")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", functions(spark).boundaries("text").alias("b"))
+    found = {"following": text.following(b, 40), "preceding": text.preceding(b, 40), "first": text.first(b), "last": text.last(b)}
+    return rows.select("item_id", *[c.cast("long").alias(n) for n, c in found.items()], text.is_boundary(b, 40).alias("is_boundary"))
+
+
+# Width, normalization, markup.
+
+
+@query("display_width", r"""
+    WITH t AS (SELECT doc_id, regexp_replace(text, '[\x{0E31}\x{0E34}-\x{0E3A}\x{0E47}-\x{0E4E}\x{200B}]', '', 'g') AS s FROM documents)
+    SELECT doc_id, length(s) + length(regexp_replace(s, '[^\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) AS width FROM t""")
+def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.display_width("text").cast("long").alias("width"))
+
+
+@query("normalize_text", r"SELECT doc_id, md5(regexp_replace(text, '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g')) AS digest FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without Thai letters all that changes is characters without width."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(functions(spark).normalize("text")).alias("digest"))
+
+
+@query("zero_width_removed", r"SELECT page_id, md5(regexp_replace(html, '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g')) AS digest FROM pages")
+def zero_width_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.without_zero_width("html")).alias("digest"))
+
+
+@query("html_detect", "SELECT page_id, regexp_matches(html, '<[a-zA-Z/!?][^>]*>') AS is_markup FROM pages")
+def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.is_markup("html").alias("is_markup"))
+
+
+@query("markup_stripped", f"SELECT page_id, md5(regexp_replace(html, '{SQL_MARKUP}', '', 'g')) AS digest FROM pages")
+def markup_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.without_markup("html")).alias("digest"))
+
+
+@query("markup_span_counts", f"SELECT page_id, len(regexp_extract_all(html, '{SQL_MARKUP}')) AS n FROM pages")
+def markup_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(text.markup_spans("html")).cast("long").alias("n"))
+
+
+@query("html_text_tokens", f"""
+    WITH t AS (SELECT page_id, unnest(regexp_split_to_array(html, '{SQL_MARKUP}')) AS part FROM pages)
+    SELECT page_id, sum(len({sql_words("part")}))::BIGINT AS n FROM t GROUP BY page_id""")
+def html_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(functions(spark).html_words("html")).cast("long").alias("n"))
+
+
+# Line breaking.
+
+
+@query("lines_roundtrip", "SELECT item_id, md5(text) AS digest FROM benchmark")
+def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With its markers taken out a text is what it was."""
+    marked = functions(spark).lines("text", "\u0001")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.replace(marked, F.lit("\u0001"), F.lit(""))).alias("digest"))
+
+
+@query("lines_no_marker_by_space", "SELECT doc_id, false AS beside FROM documents")
+def lines_no_marker_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = functions(spark).lines("text", "\u0001")
+    return table(spark, sf_dir, "documents").select("doc_id", marked.rlike("[\\s​]\u0001").alias("beside"))
+
+
+@query("break_segments")
+def break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(functions(spark).segments("text")).alias("pos", "segment"))
+    return rows
+
+
+@query("break_action_counts")
+def break_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = table(spark, sf_dir, "benchmark").select(F.explode(functions(spark).break_actions("text", dictionary=False)).alias("action"))
+    return actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("wrap_lines")
+def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", functions(spark).wrap("text", 40).alias("wrapped"))
+    return text.wrapped_lines(rows, "wrapped")
+
+
+@query("wrap_fits", "SELECT item_id, true AS fits FROM benchmark")
+def wrap_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No line is wider than asked for, as no word here is."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.split(functions(spark).wrap("text", 60), "\n").alias("lines"))
+    return rows.select("item_id", F.forall("lines", lambda x: text.display_width(x) <= 60).alias("fits"))
+
+
+@query("wrap_html")
+def wrap_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(functions(spark).wrap("html", 72, is_html=True)).alias("digest"))
+
+
+@query("escape_then_break", "SELECT item_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS digest FROM benchmark")
+def escape_then_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = functions(spark).lines(text.escaped("text"), "\u0001", is_html=True)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.replace(marked, F.lit("\u0001"), F.lit(""))).alias("digest"))
+
+
+@query("can_break_between")
+def can_break_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between neighbouring tokens of benchmark texts."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", plain_tokens("text").alias("t"))
+    pairs = rows.select("item_id", F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("left"), F.slice("t", 2, F.size("t") - 1).alias("right"))).alias("pos", "p"))
+    return pairs.select("item_id", "pos", functions(spark).can_break_between("p.left", "p.right").alias("can"))
+
+
+@query("compare_modes")
+def compare_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions(spark).compare(table(spark, sf_dir, "benchmark")).select("item_id", "words", "lines")
+
+
+# Lexicons.
+
+
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, weight): words of part names, weighted by how often they occur."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def type_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1))), " ")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg((F.count(F.lit(1)) + 0.5).cast("double").alias("weight"))
+
+
+SQL_PARTS = "p AS (SELECT word, count(*)::DOUBLE AS weight FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> '' GROUP BY word)"
+SQL_TYPES = "t AS (SELECT word, count(*) + 0.5::DOUBLE AS weight FROM (SELECT unnest(string_split(lower(concat_ws(' ', p_type, split_part(p_name, ' ', 1))), ' ')) AS word FROM part) WHERE word <> '' GROUP BY word)"
+SQL_BOTH = f"WITH {SQL_PARTS}, {SQL_TYPES}"
+
+
+@query("lexicon_add", f"{SQL_BOTH} SELECT word, max(weight) AS weight FROM (SELECT * FROM p UNION ALL SELECT * FROM t) GROUP BY word")
+def lexicon_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.add(part_words(spark, sf_dir), type_words(spark, sf_dir))
+
+
+@query("lexicon_set_weights", f"{SQL_BOTH} SELECT p.word, coalesce(t.weight, p.weight) AS weight FROM p LEFT JOIN t ON p.word = t.word")
+def lexicon_set_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.set_weights(part_words(spark, sf_dir), type_words(spark, sf_dir))
+
+
+@query("lexicon_merge_first_wins", f"{SQL_BOTH} SELECT * FROM p UNION ALL SELECT * FROM t WHERE word NOT IN (SELECT word FROM p)")
+def lexicon_merge_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.merge_first_wins(part_words(spark, sf_dir), type_words(spark, sf_dir))
+
+
+@query("lexicon_merge_later_wins", f"{SQL_BOTH} SELECT * FROM t UNION ALL SELECT * FROM p WHERE word NOT IN (SELECT word FROM t)")
+def lexicon_merge_later_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.merge_later_wins(part_words(spark, sf_dir), type_words(spark, sf_dir))
+
+
+@query("lexicon_stats", f"WITH {SQL_PARTS} SELECT count(*) AS words, sum(weight) AS total_weight, greatest(max(weight), 1.0) AS max_weight FROM p")
+def lexicon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.stats(part_words(spark, sf_dir))
+
+
+@query("lexicon_contains", f"{SQL_BOTH} SELECT word FROM t WHERE word IN (SELECT word FROM p)")
+def lexicon_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.contains(type_words(spark, sf_dir).select("word"), part_words(spark, sf_dir), "word")
+
+
+@query("lexicon_weight", f"{SQL_BOTH} SELECT t.word, coalesce(p.weight, 0.0) AS weight FROM t LEFT JOIN p ON p.word = t.word")
+def lexicon_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.with_weight(type_words(spark, sf_dir).select("word"), part_words(spark, sf_dir), "word")
+
+
+@query("lexicon_cost", f"WITH {SQL_PARTS} SELECT word, round(-ln(least(greatest(weight / (SELECT max(weight) FROM p), 1e-9), 1.0)), 6) + 0.0 AS cost FROM p")
+def lexicon_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = part_words(spark, sf_dir)
+    most = lexicons.stats(words).first()["max_weight"]
+    return words.select("word", (F.round(lexicons.word_cost(F.col("weight"), F.lit(most)), 6) + F.lit(0.0)).alias("cost"))
+
+
+@query("prefix_table", f"""WITH {SQL_PARTS}, x AS (SELECT word, weight, unnest(range(1, length(word) + 1)) AS n FROM p)
+    SELECT word[1:n] AS prefix, max(CASE WHEN n = length(word) THEN weight ELSE 0.0 END) AS weight FROM x GROUP BY word[1:n]""")
+def prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.prefix_table(part_words(spark, sf_dir))
+
+
+@query("prefixes_in_text", f"""WITH {SQL_PARTS}, s AS (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS start FROM part)
+    SELECT p_partkey, start, word, weight FROM s JOIN p ON substr(p_name, start + 1, length(word)) = word""")
+def prefixes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon words at every place of part names."""
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    found = lexicons.prefixes_in(names, part_words(spark, sf_dir), "p_name")
+    return found.select("p_partkey", F.col("start").cast("long").alias("start"), "word", "weight")
+
+
+@query("bigram_counts", f"""
+    WITH t AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+    e AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM t),
+    b AS (SELECT token AS prev, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM e)
+    SELECT prev, next, count(*)::DOUBLE AS count FROM b WHERE next IS NOT NULL GROUP BY prev, next""")
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.bigrams_of(exploded(spark, sf_dir), "doc_id")
+
+
+# Corpus statistics.
+
+
+@query("word_counts_in_lexicon", f"""
+    WITH {SQL_PARTS}, t AS (SELECT unnest({sql_words("p_name")}) AS word FROM part)
+    SELECT word, count(*) AS n FROM t WHERE word IN (SELECT word FROM p) GROUP BY word""")
+def word_counts_in_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "part").select(F.explode(plain_words("p_name")).alias("token"))
+    return corpus.word_counts(tokens, part_words(spark, sf_dir))
+
+
+@query("word_weights_top_n", f"""
+    WITH t AS (SELECT unnest({sql_words("text")}) AS word FROM documents),
+    c AS (SELECT word, count(*) AS n FROM t GROUP BY word ORDER BY n DESC, word LIMIT 500)
+    SELECT word, round(pow(n / (SELECT min(n) FROM c), 0.5), 4) AS weight FROM c""")
+def word_weights_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.word_weights(corpus.word_counts(exploded(spark, sf_dir)), 500)
+
+
+def gold_and_pred(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens as gold, words between blanks as a prediction."""
+    rows = table(spark, sf_dir, "benchmark")
+    gold = rows.select(F.col("item_id").alias("chunk_id"), plain_words("text").alias("words"))
+    pred = rows.select(F.col("item_id").alias("chunk_id"), F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "").alias("words"))
+    return gold, pred
+
+
+SQL_SPANS = f"""
+    g0 AS (SELECT item_id AS c, {sql_words("text")} AS w FROM benchmark),
+    p0 AS (SELECT item_id AS c, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM benchmark),
+    ge AS (SELECT c, unnest(w) AS word, unnest(range(len(w))) AS pos FROM g0), pe AS (SELECT c, unnest(w) AS word, unnest(range(len(w))) AS pos FROM p0),
+    g AS (SELECT c, word, sum(length(word)) OVER (PARTITION BY c ORDER BY pos) AS e FROM ge), p AS (SELECT c, word, sum(length(word)) OVER (PARTITION BY c ORDER BY pos) AS e FROM pe),
+    ok AS (SELECT (SELECT count(*) FROM g JOIN p ON g.c = p.c AND g.e = p.e AND g.word = p.word) AS w_hits)"""
+SQL_PRF = "hits / n_pred AS precision, hits / n_gold AS recall, CASE WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / n_pred) * (hits / n_gold) / (hits / n_pred + hits / n_gold) END AS f1"
+
+
+@query("segmentation_scores", f"""
+    WITH {SQL_SPANS},
+    gb AS (SELECT c, e FROM g EXCEPT SELECT c, max(e) FROM g GROUP BY c), pb AS (SELECT c, e FROM p EXCEPT SELECT c, max(e) FROM p GROUP BY c),
+    s AS (SELECT 'word' AS kind, (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_pred, (SELECT w_hits FROM ok) AS hits
+          UNION ALL SELECT 'boundary', (SELECT count(*) FROM gb), (SELECT count(*) FROM pb), (SELECT count(*) FROM gb JOIN pb USING (c, e)))
+    SELECT kind, n_gold, n_pred, hits, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1
+    FROM (SELECT kind, n_gold, n_pred, hits, {SQL_PRF} FROM s)""")
+def segmentation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = corpus.score(*gold_and_pred(spark, sf_dir))
+    return scores.select("kind", "n_gold", "n_pred", "hits", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("segmentation_errors", f"""
+    WITH {SQL_SPANS}, m AS (SELECT g.word FROM g LEFT JOIN p ON g.c = p.c AND g.e = p.e AND g.word = p.word WHERE p.word IS NULL)
+    SELECT 'non_thai' AS cause, count(*) AS n FROM m""")
+def segmentation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.error_causes(*gold_and_pred(spark, sf_dir), part_words(spark, sf_dir))
+
+
+@query("without_overlap", """
+    SELECT chunk_id, text FROM (SELECT item_id AS chunk_id, text FROM benchmark)
+    WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 3 = 0)""")
+def without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts that no text with an id divisible by 3 equals."""
+    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.array("text").alias("words"))
+    kept = corpus.without_overlap(chunks, chunks.where("chunk_id % 3 = 0"))
+    return kept.select("chunk_id", F.element_at("words", 1).alias("text"))
+
+
+# Utilities.
+
+
+def sql_group(v: str, higher: str) -> str:
+    """SQL for the words of 0 to 999,999, as ``amounts.group_words`` says them."""
+    digits = "[" + ", ".join(f"'{d}'" for d in amounts.DIGITS) + "]"
+    digit = lambda k: f"(({v}) // {10**k}) % 10"
+    out = [f"CASE WHEN {digit(k)} > 0 THEN {digits}[{digit(k)} + 1] || '{amounts.PLACES[k]}' ELSE '' END" for k in range(5, 1, -1)]
+    out.append(f"CASE {digit(1)} WHEN 0 THEN '' WHEN 1 THEN '{amounts.PLACES[1]}' WHEN 2 THEN '{amounts.TWENTY}' ELSE {digits}[{digit(1)} + 1] || '{amounts.PLACES[1]}' END")
+    out.append(f"CASE WHEN {digit(0)} = 1 AND (({v}) >= 10 OR {higher}) THEN '{amounts.ONE_LAST}' ELSE {digits}[{digit(0)} + 1] END")
+    return " || ".join(f"({x})" for x in out)
+
+
+SQL_NUMBER = f"""(CASE WHEN b >= 1000000 THEN {sql_group("b // 1000000", "false")} || '{amounts.MILLION}' ELSE '' END) || (CASE WHEN b % 1000000 > 0 THEN {sql_group("b % 1000000", "b >= 1000000")} ELSE '' END)"""
+
+
+@query("bahttext", f"""
+    WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders), u AS (SELECT o_orderkey, c // 100 AS b, c % 100 AS s FROM t)
+    SELECT o_orderkey, CASE WHEN b = 0 AND s = 0 THEN '{amounts.ZERO}{amounts.BAHT}{amounts.EXACTLY}' ELSE
+        (CASE WHEN b > 0 THEN {SQL_NUMBER} || '{amounts.BAHT}' ELSE '' END) ||
+        (CASE WHEN s > 0 THEN {sql_group("s", "false")} || '{amounts.SATANG}' ELSE '{amounts.EXACTLY}' END) END AS words FROM u""")
+def bahttext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", amounts.bahttext("o_totalprice").alias("words"))
+
+
+@query("bahttext_str", f"""
+    WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders), u AS (SELECT o_orderkey, c // 100 AS b FROM t)
+    SELECT o_orderkey, CASE WHEN b = 0 THEN '{amounts.ZERO}{amounts.BAHT}{amounts.EXACTLY}' ELSE {SQL_NUMBER} || '{amounts.BAHT}{amounts.EXACTLY}' END AS words, NULL::VARCHAR AS error FROM u""")
+def bahttext_str(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole baht, written with thousands commas."""
+    whole = F.call_function("div", F.round(F.col("o_totalprice") * 100).cast("long"), F.lit(100).cast("long"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", amounts.bahttext_str(F.format_number(whole, 0)).alias("r"))
+    return rows.select("o_orderkey", F.col("r.value").alias("words"), F.col("r.error").alias("error"))
+
+
+SQL_ID_SUM = " + ".join(f"substr(id, {k + 1}, 1)::INT * {13 - k}" for k in range(12))
+
+
+@query("validate_id", f"""
+    WITH t AS (SELECT o_orderkey, lpad((o_orderkey * 7919 + 1000000000000)::VARCHAR, 13, '0') AS id FROM orders), u AS (SELECT o_orderkey, id, (11 - ({SQL_ID_SUM}) % 11) % 10 AS k FROM t)
+    SELECT o_orderkey, k = substr(id, 13, 1)::INT AS is_valid, id,
+           concat_ws('-', substr(id, 1, 1), substr(id, 2, 4), substr(id, 6, 5), substr(id, 11, 2), substr(id, 13, 1)) AS formatted,
+           CASE WHEN k <> substr(id, 13, 1)::INT THEN 'Invalid checksum: expected check digit ' || k || ', got ' || substr(id, 13, 1) END AS error FROM u""")
+def validate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.lpad((F.col("o_orderkey") * 7919 + 1_000_000_000_000).cast("string"), 13, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", amounts.validate_id(number).alias("r")).select("o_orderkey", "r.*")
+
+
+# Thai texts, with small lexicons of their own.
+
+
+def cases_sql(cases: list[tuple[str, str]]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in cases) + ") t(text, result)"
+
+
+def cases(name: str, expected: list[tuple[str, str]], run: Callable[[SparkSession], Callable]) -> None:
+    def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.createDataFrame([(t,) for t, _ in expected], "text string")
+        return rows.select("text", run(spark)("text").alias("result"))
+
+    query(name, cases_sql(expected))(answer)
+
 
-ORACLE: dict[str, str] = {
-    "word_counts_topk": f"""
-        WITH t AS (SELECT unnest(regexp_extract_all(text, '{SQL_TOKEN}')) AS token FROM documents)
-        SELECT token, count(*) AS n FROM t
-        WHERE NOT regexp_full_match(token, '[\\s\\x{{85}}\\x{{A0}}]*')
-        GROUP BY token ORDER BY n DESC, token LIMIT 100
-    """,
-}
+WEIGHTED = {"ตา": 3000.0, "กลม": 3000.0, "ตากลม": 9000.0, "ของ": 9000.0, "ดี": 9000.0, "ของดี": 100.0, "ไป": 1.0, "กรมการกงสุล": 1.0}
+cases("thai_words", [("ตากลม", "ตากลม"), ("ของดี", "ของ|ดี"), ("ไปกรมการกงสุล", "ไป|กรมการกงสุล")], lambda spark: TextFunctions(Lexicon.of(WEIGHTED)).join)
+cases("thai_dual_lexicon_lines", [("ไปกรมการกงสุล", "ไป|กรม|การ|กงสุล")], lambda spark: lambda c: TextFunctions(Lexicon.of(["ไป", "กรมการกงสุล"]), Lexicon.of(["ไป", "กรม", "การ", "กงสุล"])).lines(c, "|"))
+cases("thai_normalize", [("เเปลก", "แปลก"), ("นํ้า", "น้ำ"), ("นานาาา", "นานา"), ("มากๆๆๆ", "มากๆ"), ("คำ ่ที่สอง", "คำ ที่สอง"), ("ดีมากกกก", "ดีมาก")], lambda spark: functions(spark).normalize)
+cases("thai_double_consonant", [("ดีมากก", "ดีมาก"), ("ต้นกก", "ต้นกก")], lambda spark: lambda c: TextFunctions(Lexicon.of(["มาก", "ดีมาก", "กก"])).normalize(c, check_lexicon=True))
+cases("thai_cut_long_words", [("กรุงเทพมหานคร", "กรุง/เทพม/หานค/ร")], lambda spark: lambda c: TextFunctions(Lexicon.of(["กรุงเทพมหานคร"])).wrap(c, 4, cut_long_words=True, separator="/"))
+cases("thai_clusters", [("เมื่อ", "6"), ("ยัง", "4"), ("ต้น", "4")], lambda spark: lambda c: (F.size(text.cluster_edges(c))).cast("string"))
+cases("thai_bahttext", [("1001", "หนึ่งพันเอ็ดบาทถ้วน"), ("1234567.89", "หนึ่งล้านสองแสนสามหมื่นสี่พันห้าร้อยหกสิบเจ็ดบาทแปดสิบเก้าสตางค์")], lambda spark: lambda c: amounts.bahttext(F.col(c).cast("double")))

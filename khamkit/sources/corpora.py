@@ -44,7 +44,7 @@ def conformance_cases(rows: DataFrame) -> DataFrame:
     fields = F.filter(F.split(line, r"\s+"), lambda x: x != "")
     hexes = F.filter(fields, lambda x: x.rlike("^[0-9A-F]+$"))
     signs = F.filter(fields, lambda x: ~x.rlike("^[0-9A-F]+$"))
-    chars = F.transform(hexes, lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32BE"))
+    chars = F.transform(hexes, lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32"))
     return rows.where(line != "").select(F.array_join(chars, "").alias("text"), F.transform(signs, lambda s: s == "÷").alias("breaks"))
 
 
