@@ -34,7 +34,7 @@ from khamkit.llm.urls import host
 #: The most pages a wrapper is fitted on, and how many of a host one batch offers.
 PAGES, OFFERED = 12, 3
 #: A text is taken for template only if this many different pages all have it.
-LEAST_PAGES = 4
+LEAST_PAGES = 5
 #: Wrappers are broadcast up to so many bytes, else joined.
 BROADCAST_BYTES = 16_000_000
 
@@ -168,8 +168,8 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
         yield ">", open_.pop()[1]
 
 
-# A wrapper is a list of nodes: ["t", constant hash or None, pages, characters, linked characters] for a text,
-# ["e", signature, children, optional, repeated] for an element.
+# A wrapper is a list of nodes: ["t", {hash: length} of the texts that all pages so far have there, pages, characters,
+# linked characters, whether texts differed] for texts, ["e", signature, children, optional, repeated] for an element.
 
 
 def tree(tokens: Iterator[tuple[str, object]]) -> list[list]:
@@ -188,7 +188,7 @@ def tree(tokens: Iterator[tuple[str, object]]) -> list[list]:
             above[-1][2] = folded(now)
             now = above
         else:
-            now.append(["t", xxhash.xxh3_64_intdigest(value[0].encode()), 1, len(value[0]), value[1]])
+            now.append(["t", {str(xxhash.xxh3_64_intdigest(value[0].encode())): len(value[0])}, 1, len(value[0]), value[1], False])
     return folded(top)
 
 
@@ -197,7 +197,7 @@ def folded(nodes: list[list]) -> list[list]:
     out: list[list] = []
     for node in nodes:
         if out and node[0] == "e" and out[-1][0] == "e" and out[-1][1] == node[1]:
-            out[-1] = merged(out[-1], node)
+            out[-1] = merged(out[-1], node, True)
             out[-1][4] = True
         else:
             out.append(node)
@@ -206,7 +206,7 @@ def folded(nodes: list[list]) -> list[list]:
                 tail = out[-period:]
                 del out[-period:]
                 for k, x in enumerate(tail):
-                    same = merged(out[k - period], x)
+                    same = merged(out[k - period], x, True)
                     if same[0] == "e":
                         same[4] = True
                     out[k - period] = same
@@ -214,14 +214,15 @@ def folded(nodes: list[list]) -> list[list]:
     return out
 
 
-def merged(a: list, b: list) -> list:
-    """Two nodes at one place of the wrapper."""
+def merged(a: list, b: list, one_page: bool = False) -> list:
+    """Two nodes at one place of the wrapper: of the same pages, or of others."""
     if a[0] == "t":
-        return ["t", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4]]
-    return ["e", a[1], aligned(a[2], b[2]), a[3] or b[3], a[4] or b[4]]
+        texts = a[1] | b[1] if one_page else {h: n for h, n in a[1].items() if h in b[1]}
+        return ["t", texts, max(a[2], b[2]) if one_page else a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] or b[5] or a[1].keys() != b[1].keys()]
+    return ["e", a[1], aligned(a[2], b[2], one_page), a[3] or b[3], a[4] or b[4]]
 
 
-def aligned(a: list[list], b: list[list]) -> list[list]:
+def aligned(a: list[list], b: list[list], one_page: bool = False) -> list[list]:
     """Both lists as one, by their longest common order; what one lacks becomes optional."""
     if len(a) * len(b) > 40_000:
         a, b = a[:200], b[:200]
@@ -233,7 +234,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and alike(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], one_page))
             i, j = i + 1, j + 1
         else:
             left = j >= len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1])
@@ -248,7 +249,7 @@ def expression(nodes: list[list]) -> str:
     out = []
     for n in nodes:
         if n[0] == "t":
-            out.append("#text" if n[1] is None else "#constant")
+            out.append("#text" if n[5] else "#constant")
         else:
             inner = f"<{n[1]}>{expression(n[2])}</{n[1].partition('[')[0]}>"
             out.append(f"({inner}){'+' if n[4] else ''}{'?' if n[3] else ''}" if n[3] or n[4] else inner)
@@ -256,28 +257,35 @@ def expression(nodes: list[list]) -> str:
 
 
 def settled(wrapper: list[list], pages: int) -> dict[str, int]:
-    """Verdicts by place ('path') and, for template texts, by place and text ('path#hash'): 1 keeps, 0 drops."""
+    """Verdicts by place ('path') and, for template texts, by place and text ('path#hash'): 1 keeps, 0 drops.
+
+    Pages that share more than half of what stands outside the template's own
+    elements are copies of one another; their common text is no template.
+    """
     slots: dict[str, list[int]] = {}
-    constant: dict[str, int] = {}
+    common: dict[str, int] = {}
 
     def walk(nodes: list[list], path: tuple[str, ...]) -> None:
         for n in nodes:
             if n[0] == "e":
                 walk(n[2], (*path, n[1]))
                 continue
-            place = " ".join(path)
-            if n[1] is not None and n[2] >= pages >= LEAST_PAGES:
-                constant[f"{place}#{n[1]}"] = 0
-            else:
-                have = slots.setdefault(place, [0, 0])
-                have[0] += n[3]
-                have[1] += n[4]
+            place = "\n".join(path)
+            have = slots.setdefault(place, [0, 0])
+            have[0] += n[3]
+            have[1] += n[4]
+            if n[2] >= pages >= LEAST_PAGES:
+                common.update({f"{place}#{h}": size for h, size in n[1].items()})
 
     walk(wrapper, ())
-    within = {p: place_verdict(p.split(" ") if p else []) for p in slots}
+    within = {p: place_verdict(p.split("\n") if p else []) for p in slots}
+    shared = {k: size for k, size in common.items() if within[k.rpartition("#")[0]]}
+    whole = sum(n for p, (n, _) in slots.items() if within[p])
+    if 2 * pages * sum(shared.values()) > whole:
+        shared = {}
     named = any(v == 2 for v in within.values())
     verdicts = {p: int(within[p] == 2 if named else within[p] > 0 and 2 * slots[p][1] <= slots[p][0]) for p in slots}
-    return verdicts | constant
+    return verdicts | dict.fromkeys(shared, 0)
 
 
 def place_verdict(path: list[str]) -> int:
@@ -306,7 +314,7 @@ def extracted(page: str, verdicts: dict[str, int] | None) -> str:
             text, linked = value
             own = place_verdict(path)
             if verdicts is not None and own:
-                place = " ".join(path)
+                place = "\n".join(path)
                 if verdicts.get(f"{place}#{xxhash.xxh3_64_intdigest(text.encode())}") == 0:
                     continue
                 known = verdicts.get(place)
