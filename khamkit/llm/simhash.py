@@ -16,9 +16,11 @@ again by four-bit blocks, which bounds it at 256 distinct fingerprints.
 A bucket yields the edges of a spanning forest of its links, not its pairs.
 
 One fingerprint finds texts that are all but equal. Where near copies of a
-similarity of 0.8 or more matter, a text gets several independent fingerprints
-(lanes) from remixed hashes of the same shingles, and texts link if they do in
-any lane.
+similarity of 0.8 or more matter, a text gets a few independent fingerprints
+(lanes) from remixed hashes of the same shingles, and sampled ones: each is the
+fingerprint of the few shingles that come first in an order of its own. Texts
+link within the radius in any lane, or if a sampled fingerprint agrees and the
+lanes together differ in few enough bits for that similarity.
 """
 
 from __future__ import annotations
@@ -39,8 +41,13 @@ SEED = 42
 RADIUS = 2
 #: The largest bucket whose pairs one task compares; the second dealing can't exceed it.
 BUCKET = 256
+#: Shingles in a sample, and the share of differing bits up to which texts that share a sample link: at a cosine c two
+#: fingerprints differ in acos(c) / pi of their bits, and a similarity of 0.8 (a cosine of 0.89) means 0.15.
+SAMPLE = 7
+DIFFERING = 0.18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SAMPLE_ORDERS = mixed(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def lane_hashes(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -49,34 +56,51 @@ def lane_hashes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack([hashes, *more], axis=1)
 
 
-def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
-    """For each lane the majority of each bit over the shingles of ``width`` words; 0 without words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return [0] * lanes
-    digest = xxhash.xxh64_intdigest
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of each column how many rows have it set."""
+    votes = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little")
+    for j in range(0, len(bits), 255):
+        votes += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return votes
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hash of every shingle of ``width`` words, repeats included; fewer words are one shingle."""
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return lane_hashes(np.array([digest(line, SEED)], dtype="<u8"), lanes)[0].tolist()
+        return np.array([digest(line, SEED)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     stops = (ends[width - 1 :] - 1).tolist()
     starts = [0, *ends[: len(words) - width].tolist()]
-    n = len(stops)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=len(stops))
+
+
+def fingerprint(text: bytes, width: int, lanes: int = 1, samples: int = 0) -> list[int]:
+    """For each lane the majority of each bit over the shingles, then for each sample over its own; 0 without words."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return [0] * (lanes + samples)
+    hashes = shingle_hashes(words, width)
     votes = np.zeros(64 * lanes, dtype=np.int64)
-    for k in range(0, n, 2048):
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[k : k + 2048], stops[k : k + 2048], strict=True)), dtype="<u8", count=min(2048, n - k))
-        bits = np.unpackbits(lane_hashes(hashes, lanes).view(np.uint8), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):
-            votes += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * votes > n, bitorder="little").view("<u8").tolist()
+    for k in range(0, len(hashes), 2048):
+        votes += bit_votes(lane_hashes(hashes[k : k + 2048], lanes))
+    out = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8").tolist()
+    if samples:
+        own = np.unique(hashes)
+        first = [np.sort(np.partition(order, SAMPLE - 1)[:SAMPLE]) if len(own) > SAMPLE else np.sort(order) for order in (mixed(own ^ c) for c in SAMPLE_ORDERS[:samples])]
+        chosen = np.stack(first, axis=1)
+        out += np.packbits(2 * bit_votes(chosen) > len(chosen), bitorder="little").view("<u8").tolist()
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fps) of every row; fps lists the lanes' fingerprints as signed longs."""
+def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, samples: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fps) of every row; fps lists the fingerprints of lanes, then of samples, as signed longs."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width, lanes) for t in texts(batch.column(1))], dtype=np.uint64).reshape(-1, lanes)
+            fps = np.array([fingerprint(t, width, lanes, samples) for t in texts(batch.column(1))], dtype=np.uint64).reshape(-1, lanes + samples)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
     kind = dict(docs.dtypes)[doc_id]
@@ -229,31 +253,45 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return first.where("kind = 0").union(second).select(F.col("choice").alias("lane"), F.col("fp").alias("a"), F.col("part").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of the group, fp the first lane's.
 
     Null and blank texts have fingerprint zero and link like any other. Null
     ids are never smallest; a group of null ids only has a null component.
     Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, width, lanes, doc_id, text))
+    prints = checkpointed(fingerprints(docs, width, lanes, samples, doc_id, text))
     distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", node()))
     spread = distinct.select("node", F.posexplode("fps").alias("lane", "fp"))
     # The first node of each fingerprint stands for all that share it.
     held = checkpointed(spread.groupBy("lane", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
-    shared = spread.join(held.where("n > 1"), ["lane", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    found = links(held.select("lane", "fp"))
+    found = links(held.where(F.col("lane") < lanes).select("lane", "fp"))
     for end in ("a", "b"):
         rep = held.select("lane", F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
         found = found.join(rep, ["lane", end])
     edges = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    reached = components(edges.union(shared) if lanes > 1 else edges).select(F.col("node").alias("at"), "root")
+    if lanes + samples > 1:
+        shared = spread.join(held.where("n > 1").select("lane", "fp", "rep"), ["lane", "fp"]).where("node <> rep")
+        edges = edges.union(shared.where(F.col("lane") < lanes).select("node", "rep"))
+        if samples:
+            edges = edges.union(close_pairs(shared.where(F.col("lane") >= lanes).select(F.col("node").alias("a"), F.col("rep").alias("b")), distinct, lanes))
+    reached = components(edges).select(F.col("node").alias("at"), "root")
     grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     members = grouped.select("node", "root").join(lowest, "root").select("node", "component_id")
     return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
+def close_pairs(pairs: DataFrame, distinct: DataFrame, lanes: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose lanes differ in a small enough share of bits."""
+    pairs = pairs.distinct()
+    for end in ("a", "b"):
+        own = distinct.select(F.col("node").alias(end), F.slice("fps", 1, lanes).alias(f"fps_{end}"))
+        pairs = pairs.join(own, end)
+    differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.where(differing <= int(DIFFERING * 64 * lanes)).select("a", "b")
+
+
 def node() -> Column:
     """One long for the fingerprints of a row: the fingerprint itself where there is one lane."""
     return F.when(F.size("fps") == 1, F.element_at("fps", 1)).otherwise(F.xxhash64("fps"))

@@ -128,11 +128,24 @@ def test_simhash_large_buckets(spark):
     assert {n: found.get(n, n) for n in signed} == roots
 
 
-def test_simhash_lanes_find_near_copies(docs, rows):
-    found = by_id(simhash.near_duplicates(docs, 5, lanes=8), "component_id")
+def test_simhash_samples_find_near_copies(spark, docs, rows):
+    found = by_id(simhash.near_duplicates(docs, 5, lanes=4, samples=16), "component_id")
     first = next(i for i, t, *_ in rows if t and len(t.split()) == 300)
     near = [i for i, t, *_ in rows if t and len(t.split()) == 300]
-    assert sum(found[i] == (first,) for i in near) >= len(near) - 1
+    assert all(found[i] == (first,) for i in near)
+    assert len({found[i] for i, t, *_ in rows if t and 40 <= len(t.split()) < 300}) >= len({t for _, t, *_ in rows if t and 40 <= len(t.split()) < 300}) - 1
+    # Pairs of a similarity of 0.8 to 0.9, and of 0.5 and less.
+    pick = random.Random(21)
+    pairs = []
+    for k in range(60):
+        words = sentence(pick, 300).split()
+        other = list(words)
+        for at in range(3, 300, 60 if k < 30 else 12):
+            other[at] = "changed"
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    linked = by_id(simhash.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 5, lanes=4, samples=16), "component_id")
+    assert sum(linked[2 * k + 1] == (2 * k,) for k in range(30)) >= 28
+    assert all(linked[2 * k + 1] == (2 * k + 1,) for k in range(30, 60))
 
 
 def test_components_of_a_path(spark):
