@@ -5,12 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-
-WORDS = [a + b for a in "ba ke li mo nu ra se ti vo zu".split() for b in "ban del fir gos hum kat lor mis pen tul wex".split()]
-
-
-def sentence(pick: random.Random, n: int) -> str:
-    return " ".join(pick.choice(WORDS) for _ in range(n))
+from samples import SCHEMA, sentence
 
 
 @pytest.fixture(scope="session")
@@ -30,9 +25,6 @@ def rows():
     return [(i, t, "en", [None, "a", "b", "c"][i % 7 % 4], len(t or "")) for i, t in enumerate(texts)]
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id")
@@ -41,14 +33,3 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-CLASHING = "n_words n_removed kept_text kept n_base labels score size target finish turn key fp fps node component_id salt place settled h1 part guest tie host path rule verdict may c0 c1 start ids sketch evidence held_out main_text html_text first copy range bucket sent ahead base_failed".split()
-
-
-def clashed(df):
-    """``df`` with further columns whose names operators use themselves."""
-    from pyspark.sql import functions as F
-
-    have = {c.lower() for c in df.columns}
-    return df.withColumns({c: F.lit("x") for c in CLASHING if c not in have})

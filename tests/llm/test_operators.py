@@ -11,13 +11,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import CLASHING, SCHEMA, WORDS, clashed, sentence
+from samples import SCHEMA, WORDS, clashed, sentence
 from pyspark.sql import functions as F
 
 from khamkit.llm import components, licenses, mixing, packing, quality, simhash, sketches, substring, toxicity, urls, wrappers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-assert CLASHING
 
 
 def by_id(df, *columns):

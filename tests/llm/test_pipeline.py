@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import clashed
+from samples import clashed
 
 import corpus_pipeline as pipeline
 from khamkit.llm import queries
