@@ -187,16 +187,10 @@ def likeness_to_next(docs: DataFrame, width: int = WIDTH, k: int = K, doc_id: st
     marks = docs.approxQuantile(doc_id, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     marks = sorted({int(m) for m in marks})
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    rows = rows.withColumn("part", ranged(F.col("doc_id"), marks))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    heads = slim.groupBy(ranged(F.col("doc_id"), marks).alias("part")).agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
-    heads = sorted(heads, key=lambda r: r["part"])
-    to = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
-    guests = [(h["head"]["doc_id"], h["head"]["tie"], heads[(i + 1) % len(heads)]["part"]) for i, h in enumerate(heads)]
-    if guests:
-        known = F.create_map(*[x for d, t, part in guests for x in (F.lit(f"{d} {t}"), F.lit(part))])
-        host = F.element_at(known, F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.col("tie").cast("string")))
-        to = F.when(host.isNull(), to).otherwise(F.concat(to, F.array(F.struct(host.alias("part"), F.lit(True).alias("guest")))))
+    slim = rows.select("doc_id", "tie", ranges(spark.sparkContext.broadcast(np.array(marks, dtype=np.int64)))("doc_id").alias("part"))
+    heads = sorted(slim.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect(), key=lambda r: r["part"])
+    guests = {(h["head"]["doc_id"], h["head"]["tie"]): heads[(i + 1) % len(heads)]["part"] for i, h in enumerate(heads)}
+    to = places(spark.sparkContext.broadcast((np.array(marks, dtype=np.int64), guests)))("doc_id", "tie")
     dealt = rows.select("doc_id", "text", "tie", F.explode(to).alias("to")).select("doc_id", "text", "tie", "to.part", "to.guest")
     dealt = dealt.repartitionById(len(marks) + 2, F.col("part")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     kind = dict(docs.dtypes)[doc_id]
@@ -204,16 +198,36 @@ def likeness_to_next(docs: DataFrame, width: int = WIDTH, k: int = K, doc_id: st
     return dealt.select("doc_id", "text", "guest").mapInArrow(likeness(width, k), schema)
 
 
-def ranged(doc_id: Column, marks: list[int]) -> Column:
-    """0 for null, else 1 and the number of marks at or below the id, by a tree of comparisons."""
+def numbered(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """0 for null, else 1 and the number of marks at or below the id."""
+    known = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(marks, known, side="right")).astype(np.int32)
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low + 1)
-        mid = (low + high) // 2
-        return F.when(doc_id < F.lit(marks[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(tree(0, len(marks))).cast("int")
+def ranges(marks: object) -> Callable[..., Column]:
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(numbered(ids, marks.value))
+
+    return part
+
+
+def places(known: object) -> Callable[..., Column]:
+    """Where a row goes: its own range, and as a guest the range that it stands at the end of."""
+    kind = pa.list_(pa.struct([("part", pa.int32()), ("guest", pa.bool_())]))
+
+    @F.arrow_udf("array<struct<part: int, guest: boolean>>")
+    def to(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        marks, guests = known.value
+        out = []
+        for key, part in zip(zip(ids.to_pylist(), ties.to_pylist(), strict=True), numbered(ids, marks).tolist(), strict=True):
+            own = [{"part": part, "guest": False}]
+            if key in guests:
+                own.append({"part": guests[key], "guest": True})
+            out.append(own)
+        return pa.array(out, kind)
+
+    return to
 
 
 def printed(sketch_column: str) -> Column:
