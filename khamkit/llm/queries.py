@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from khamkit.llm import licenses, sketches, toxicity, urls, wrappers
+from khamkit.llm import licenses, oracles, sketches, toxicity, urls, wrappers
 from khamkit.llm.common import table
 from khamkit.llm.mixing import Mixture
 from khamkit.llm.packing import packed, tokenizer_path
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from samples import clashed
@@ -65,6 +66,13 @@ def test_queries(spark, name):
     df = queries.queries()[name](spark, DATA)
     rows = df.collect()
     assert rows
+    if name in queries.oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "pages"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+        sql = con.sql(queries.oracle_sql()[name])
+        assert sorted(sql.columns) == sorted(df.columns)
+        assert sorted(sql.project(", ".join(df.columns)).fetchall(), key=str) == sorted(map(tuple, rows), key=str)
     if name != "pipeline":
         table = "pages" if name in ("op7_urls", "op9_html") else "documents"
         key = "page_id" if table == "pages" else "doc_id"
