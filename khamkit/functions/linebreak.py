@@ -120,6 +120,10 @@ def any_of(names: str) -> str:
     return symbols(lambda c, ea, xp, name: c in wanted)
 
 
+#: Places in the list of the rules that hold only after a joiner, or only where words are known.
+JOINED_AT, TAILORED_AT = 6, 7
+
+
 def rules() -> list[tuple[regex.Pattern, int]]:
     """The rules of UAX #14 from LB4 on as (place pattern, action), in order."""
     c = any_of
@@ -141,9 +145,8 @@ def rules() -> list[tuple[regex.Pattern, int]]:
         ("", c(ends), NO),
         ("", c("SP ZW"), NO),
         (f"{c('ZW')}{sp}*", "", ALLOWED),
-        ("JOINED", "", NO),
-        ("", "TAILORED", NO),
-        ("RUN", "RUN", NO),
+        ("", "", NO),  # after a joiner only, see JOINED_AT
+        ("", symbols(lambda k, ea, xp, name: name in ("REPEAT", "ABBREV")), NO),  # where words are known only, see TAILORED_AT
         (c("WJ"), "", NO),
         ("", c("WJ"), NO),
         (c("GL"), "", NO),
@@ -197,16 +200,95 @@ def rules() -> list[tuple[regex.Pattern, int]]:
         (f"(?<!{regional})(?:{regional}{regional})*{regional}", regional, NO),
         (f"(?:{c('EB')}|{picture})", c("EM"), NO),
     ]
-    out = []
-    for before, after, action in listed:
-        if before in ("JOINED", "RUN") or after == "TAILORED":
-            out.append((before or after, action))
+    return [(regex.compile(f"(?<={before})(?={after})(?!\\Z)"), action) for before, after, action in listed]
+
+
+class Rules:
+    """The compiled rules, and what they said of contexts seen before.
+
+    A rule looks back over a run of blanks, separators, closings or regional
+    indicators and two units before it, and ahead over three units. Places
+    with equal contexts of that extent are decided once.
+    """
+
+    def __init__(self) -> None:
+        listed = rules()
+        self.joined, self.tailored = listed[JOINED_AT][0], listed[TAILORED_AT][0]
+        self.listed = listed
+        #: Inside runs of these no line breaks; the scripts without blanks are not among them.
+        plain = symbols(lambda k, ea, xp, name: k in ("AL", "HL", "NU") and not name)
+        self.token = re.compile(f"{plain}+|.", re.DOTALL)
+        self.seen: dict[tuple, int] = {}
+
+    def action(self, line: str, k: int, joined: bool, words: bool) -> int:
+        run = k
+        while run and line[run - 1] in RUNS:
+            run -= 1
+        left = max(run - 2, 0)
+        key = (line[left:k], line[k : k + 3], left == 0, k + 3 >= len(line), joined, words)
+        found = self.seen.get(key)
+        if found is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            found = self.seen[key] = self.decided(line, k, joined, words)
+        return found
+
+    def decided(self, line: str, k: int, joined: bool, words: bool) -> int:
+        for pattern, action in self.listed:
+            if (pattern is self.joined and not joined) or (pattern is self.tailored and not words):
+                continue
+            if pattern.match(line, k):
+                return action
+        return ALLOWED
+
+
+@cache
+def compiled() -> Rules:
+    return Rules()
+
+
+class Symbols(dict):
+    """The symbol of each code point, found when first needed; marks have symbols of their own."""
+
+    def __init__(self, table: LineTable) -> None:
+        self.table = table
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        value = self.table.value(char)
+        cls = value.rstrip("*+")
+        if cls in MARKS:
+            self[code] = MARKS[cls]
         else:
-            out.append((regex.compile(f"(?<={before})(?={after})(?!\\Z)"), action))
-    return out
+            self[code] = SYMBOL[cls, "*" if "*" in value else "", "+" if "+" in value else "", NAMED.get(char, "")]
+        return self[code]
 
 
-_RULES: list = []
+@cache
+def symbols_of(table: LineTable) -> Symbols:
+    return Symbols(table)
+
+
+def units_of(text: str, table: LineTable, words: bool) -> tuple[str, list[int] | None, set[int]]:
+    """One symbol a unit, the place of each unit if marks make units longer, and the units that end in a joiner."""
+    line = text.translate(symbols_of(table))
+    places, joined = None, set()
+    if HAS_MARK.search(line):
+        units: list[str] = []
+        places = []
+        for i, s in enumerate(line):
+            if s in MARK_SYMBOLS:
+                if units and units[-1] not in NO_BASE:
+                    (joined.add if s == MARKS["ZWJ"] else joined.discard)(len(units) - 1)
+                    continue
+                if s == MARKS["ZWJ"]:
+                    joined.add(len(units))
+                value = table.value(text[i])
+                s = SYMBOL["AL", "*" if "*" in value else "", "+" if "+" in value else "", NAMED.get(text[i], "")]
+            units.append(s)
+            places.append(i)
+        line = "".join(units)
+    return line if words else line.translate(SA_TO_AL), places, joined
 
 
 def break_actions(text: str, table: LineTable, boundaries: list[bool] | None = None) -> list[int]:
@@ -220,56 +302,30 @@ def break_actions(text: str, table: LineTable, boundaries: list[bool] | None = N
     if not n:
         return actions
     actions[n] = MANDATORY
-    if not _RULES:
-        _RULES.extend(rules())
-    units: list[str] = []
-    places: list[int] = []
-    joiner: list[bool] = []
-    held = ""
-    for i, char in enumerate(text):
-        value = table.value(char)
-        cls = value.rstrip("*+")
-        mark = cls in ("CM", "ZWJ", "SM")
-        if mark and units and held not in ("BK", "CR", "LF", "NL", "SP", "ZW"):
-            joiner[-1] = cls == "ZWJ"
-            continue
-        kind = "AL" if mark or (cls == "SA" and boundaries is None) else cls
-        held = kind
-        units.append(SYMBOL[kind, "*" if "*" in value else "", "+" if "+" in value else "", NAMED.get(char, "")])
-        places.append(i)
-        joiner.append(cls == "ZWJ")
-    line = "".join(units)
-    settled: list[int | None] = [None] * (len(units) + 1)
-    for pattern, action in _RULES:
-        if isinstance(pattern, str):
-            for k in range(1, len(units)):
-                if settled[k] is None:
-                    settled[k] = special(pattern, units, places, joiner, k, boundaries)
+    engine, words = compiled(), boundaries is not None
+    line, places, joined = units_of(text, table, words)
+    for m in engine.token.finditer(line):
+        k = m.start()
+        if not k:
             continue
-        for m in pattern.finditer(line):
-            k = m.start()
-            if 0 < k < len(units) and settled[k] is None:
-                settled[k] = action
-    for k in range(1, len(units)):
-        actions[places[k]] = ALLOWED if settled[k] is None else settled[k]
+        at = k if places is None else places[k]
+        if line[k] in SA_SYMBOLS and line[k - 1] in SA_SYMBOLS and line[k] not in NEVER_FIRST and k - 1 not in joined:
+            actions[at] = ALLOWED if boundaries[at] else NO
+        else:
+            actions[at] = engine.action(line, k, k - 1 in joined, words)
+    # Within a run of plain letters a joiner may end a unit too; the runs are unbroken either way.
     return actions
 
 
 SA_SYMBOLS = {s for (c, *_), s in SYMBOL.items() if c == "SA"}
 NEVER_FIRST = {s for (*_, name), s in SYMBOL.items() if name in ("REPEAT", "ABBREV")}
-
-
-def special(rule: str, units: list[str], places: list[int], joiner: list[bool], k: int, boundaries: list[bool] | None) -> int | None:
-    """What the rules say that look beyond classes: after a joiner, before a Thai sign, inside a run."""
-    if rule == "JOINED":
-        return NO if joiner[k - 1] else None
-    if boundaries is None:
-        return None
-    if rule == "TAILORED":
-        return NO if units[k] in NEVER_FIRST else None
-    if units[k - 1] in SA_SYMBOLS and units[k] in SA_SYMBOLS:
-        return ALLOWED if boundaries[places[k]] else NO
-    return None
+RUNS = {s for (c, *_), s in SYMBOL.items() if c in ("SP", "SY", "IS", "CL", "CP", "RI")}
+NO_BASE = {s for (c, *_), s in SYMBOL.items() if c in ("BK", "CR", "LF", "NL", "SP", "ZW")}
+MARKS = {"CM": chr(0x3FFD), "SM": chr(0x3FFE), "ZWJ": chr(0x3FFF)}
+MARK_SYMBOLS = set(MARKS.values())
+HAS_MARK = re.compile("[" + "".join(MARKS.values()) + "]")
+HAS_SA = re.compile("[" + "".join([*SA_SYMBOLS, MARKS["SM"]]) + "]")
+SA_TO_AL = {ord(s): SYMBOL["AL", ea, xp, name] for (c, ea, xp, name), s in SYMBOL.items() if c == "SA"}
 
 
 def can_break_between(left: str, right: str, table: LineTable) -> bool:
@@ -285,7 +341,8 @@ def segments(text: str, model: Model, table: LineTable) -> list[str]:
     if not text:
         return []
     boundaries = [False] * (len(text) + 1)
-    for s in spans(text, model):
+    # Without letters of the scripts without blanks nothing asks for the words.
+    for s in spans(text, model) if HAS_SA.search(text.translate(symbols_of(table))) else ():
         boundaries[s.end] = True
     actions = break_actions(text, table, boundaries)
     cuts = [0, *(i for i in range(1, len(text)) if actions[i] == ALLOWED), len(text)]

@@ -55,6 +55,21 @@ def test_lines(table, text, expected):
     assert lb.lines(text, FIXTURE, table, "|") == expected
 
 
+def test_scripts_without_a_lexicon_break_at_tokens(table):
+    assert lb.lines("ລາວ", FIXTURE, table, "|") == "ລ|າ|ວ"
+
+
+def test_contexts_decided_before_decide_alike(table):
+    """Places decided from memory against the rules tried afresh."""
+    pick = random.Random(12)
+    pool = "aA1 .,-/()“”«»\"'!?%$\u200b\u200d\u0301กิๆฯ中（가א\u2060\xa0\n\r‐👍🏽🇹🇭😀…"
+    for _ in range(1500):
+        text = "".join(pick.choice(pool) for _ in range(pick.randrange(1, 14)))
+        known = lb.break_actions(text, table)
+        lb.compiled().seen.clear()
+        assert lb.break_actions(text, table) == known
+
+
 def test_mandatory_breaks(table):
     assert lb.break_actions("a\r\nb", table) == [0, 0, 0, 2, 2]
 
