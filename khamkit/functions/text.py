@@ -131,6 +131,11 @@ class TextFunctions:
 
         return mapped(call, "array<tinyint>", text)
 
+    def line_classes(self, text: Column | str) -> Column:
+        """The line break class of each character; * marks wide East Asian ones, + unassigned pictographs."""
+        table = self.table
+        return mapped(lambda t: [table.value(c) for c in t], "array<string>", text)
+
     def can_break_between(self, left: Column | str, right: Column | str) -> Column:
         table = self.table
         return mapped(lambda a, b: linebreak.can_break_between(a, b, table), "boolean", left, right)

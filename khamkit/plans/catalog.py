@@ -217,6 +217,16 @@ def break_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("line_classes", """
+    WITH t AS (SELECT unnest(string_split(text, '')) AS c FROM benchmark)
+    SELECT count(*) FILTER (c BETWEEN 'a' AND 'z' OR c BETWEEN 'A' AND 'Z') AS letters, count(*) FILTER (c = ' ') AS blanks FROM t""")
+def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII letters and blanks of benchmark texts, by class."""
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(F.arrays_zip(F.split("text", "").alias("c"), functions(spark).line_classes("text").alias("k"))).alias("x"))
+    letters = F.col("x.c").rlike("^[a-zA-Z]$") & (F.col("x.k") == "AL")
+    return rows.agg(F.count_if(letters).alias("letters"), F.count_if(F.col("x.k") == "SP").alias("blanks"))
+
+
 @query("wrap_lines")
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", functions(spark).wrap("text", 40).alias("wrapped"))
