@@ -12,7 +12,7 @@ sorted list of its cells, and of the merged one a bit for each cell: "two or
 more". A second, small sketch counts windows for their size alone.
 
 Second pass: only windows estimated to be in two documents or more are
-shuffled, under a 128-bit hash of their words, and grouped exactly in sorted
+shuffled, under a 96-bit hash of their words, and grouped exactly in sorted
 streams. Windows whose estimate is large are salted by document: each salt
 finds the smallest id it has seen, and the few rows at those are compared in a
 second small shuffle. Nothing is lost: a sketch too small for its input only
@@ -155,8 +155,8 @@ def merged_slices(shift: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return call
 
 
-def candidates(sketch: object, width: int, shift: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h1, h2, salt, doc_id, place) of the windows estimated to be in two documents; place holds a tag of the text."""
+def candidates(sketch: object, width: int, shift: int, tagged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h1, h2, salt, doc_id, place) of the windows estimated to be in two documents; place holds a tag of the text if ids repeat."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, heavy, least = sketch.value
@@ -177,13 +177,13 @@ def candidates(sketch: object, width: int, shift: int) -> Callable[[Iterator[pa.
                 h1 = windows.first[may]
                 hot = heavy[(h1 >> np.uint64(50)).astype(np.int64)] >= least
                 first.append(h1)
-                second.append(windows.second[may])
+                second.append((windows.second[may] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 salt.append(np.where(hot, 1 + xxhash.xxh3_64_intdigest(str(doc_id).encode()) % SALTS, 0))
                 ids.append(np.full(len(may), doc_id, dtype=np.int64))
-                place.append(may + (zlib.crc32(text) >> 1 << 32))
+                place.append(may + tag(text, tagged))
             if first:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(t, copy=False).view(v)) for x, t, v in ((first, np.uint64, np.int64), (second, np.uint64, np.int64), (salt, np.int16, np.int16), (ids, np.int64, np.int64), (place, np.int64, np.int64))],
+                    [pa.array(np.concatenate(x).astype(t, copy=False).view(v)) for x, t, v in ((first, np.uint64, np.int64), (second, np.int32, np.int32), (salt, np.int16, np.int16), (ids, np.int64, np.int64), (place, np.int64, np.int64))],
                     names=["h1", "h2", "salt", "doc_id", "place"],
                 )
 
@@ -214,7 +214,12 @@ def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h1, h2, ids, place, after)], names=["h1", "h2", "doc_id", "place", "settled"])
 
 
-def cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tag(text: bytes, tagged: bool) -> int:
+    """Tells the rows of one id apart, in the upper half of a place."""
+    return zlib.crc32(text) >> 1 << 32 if tagged else 0
+
+
+def cut(width: int, tagged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -223,7 +228,7 @@ def cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 if places.is_valid:
                     at = np.asarray(places.values)
-                    at = at[at >> 32 == zlib.crc32(text) >> 1] & 0xFFFFFFFF
+                    at = at[at >> 32 == tag(text, tagged) >> 32] & 0xFFFFFFFF
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + width, -1)
                 left = np.cumsum(gone[:-1]) == 0
@@ -275,10 +280,11 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     rest = [c for c in docs.columns if c not in {doc_id, text, *made}]
     bits, heavy, least, shift = merged_sketch(docs, width, text)
     sketch = spark.sparkContext.broadcast((bits, heavy, least))
-    schema = "h1 long, h2 long, salt short, doc_id long, place long"
-    rows = map_batches(docs, [doc_id, text], candidates(sketch, width, shift), schema)
+    tagged = not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    schema = "h1 long, h2 int, salt short, doc_id long, place long"
+    rows = map_batches(docs, [doc_id, text], candidates(sketch, width, shift, tagged), schema)
     dealt = rows.repartition(n, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id")
-    found = dealt.mapInArrow(later_windows, "h1 long, h2 long, doc_id long, place long, settled boolean")
+    found = dealt.mapInArrow(later_windows, "h1 long, h2 int, doc_id long, place long, settled boolean")
     gone = found.where("settled").select("doc_id", "place")
     if (heavy >= least).any():
         ends = found.where(~F.col("settled"))
@@ -288,5 +294,5 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     gone = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list("place").alias("__gone"))
     kinds = dict(docs.dtypes)
     joined = docs.join(gone, docs[doc_id] == gone["__gone_id"], "left").select(F.col(text), "__gone", F.col(doc_id), *rest)
-    out = joined.mapInArrow(cut(width), f"n_words long, n_removed long, kept_text string, `{text}` string, `{doc_id}` {kinds[doc_id]}" + "".join(f", `{c}` {kinds[c]}" for c in rest))
+    out = joined.mapInArrow(cut(width, tagged), f"n_words long, n_removed long, kept_text string, `{text}` string, `{doc_id}` {kinds[doc_id]}" + "".join(f", `{c}` {kinds[c]}" for c in rest))
     return out.select(*[c for c in docs.columns if c not in made], "n_words", "n_removed", "kept_text")
