@@ -90,14 +90,14 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def ordered(rules: list[Rule], counted: DataFrame, sample_rows: int = 2000) -> list[Rule]:
+def ordered(rules: list[Rule], counted: DataFrame) -> list[Rule]:
     """``rules`` by estimated rejections per cost, best first.
 
     Selectivity is the share of the sample a rule rejects; cost is its fixed
     cost, or the seconds a pass over the sample takes. ``counted`` must be a
-    bounded sample already; an empty one keeps the given order.
+    bounded sample; an empty one keeps the given order.
     """
-    sample = counted.limit(sample_rows).collect()
+    sample = counted.collect()
     if not sample:
         return rules
     rows = counted.sparkSession.createDataFrame(sample, counted.schema)
@@ -120,7 +120,7 @@ def cascade(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = 500) -> DataFrame:
     """``docs`` with the base counts, base_failed and kept.
 
     Nulls in ``text`` count as empty texts, which fail the base rule. Other
@@ -130,7 +130,8 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     """
     rules = default_rules() if rules is None else rules
     docs = docs.drop(*(c for c in docs.columns if c in (*COUNTS, "base_failed", "kept")))
-    sample = counts(docs.select(text).limit(sample_rows), text).drop(text)
-    order = ordered(rules, sample, sample_rows)
+    # Collected as it is: a limit below further operators would be run by every task.
+    few = docs.select(F.col(text).cast("string").alias("text")).limit(sample_rows).collect()
+    order = ordered(rules, counts(docs.sparkSession.createDataFrame(few, "text string")).drop("text"))
     counted = counts(docs, text).withColumn("base_failed", base_failed())
     return counted.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order)))
