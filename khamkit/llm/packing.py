@@ -54,13 +54,34 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self.letters_apart()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        core = word.rstrip(b".,")
+        if len(core) < len(word) and self.plain and core.isalpha():
+            # Letters and what follows them are tokens apart.
+            ids = self[core.lower()] + self[word[len(core) :]]
+        elif self.plain and word.isalpha():
+            low = word.lower()
+            ids = self[low] if low != word else self.packed([t.id for t in self.tokenizer.model.tokenize(low.decode())])
+        else:
+            ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(word) <= 32:
             self[word] = ids
         return ids
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def letters_apart(self) -> bool:
+        """Whether runs of ASCII letters, in lower case, go to the model as they are and apart from full stops and commas."""
+        probe = ["Thanedble", "thanedble", "thanedble,", "thanedble..,"]
+        whole = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probe]
+        model = [t.id for t in self.tokenizer.model.tokenize("thanedble")]
+        stops = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in (",", "..,")]
+        return whole == [model, model, model + stops[0], model + stops[1]]
+
     def of(self, text: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
