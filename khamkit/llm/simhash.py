@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
         shared = spread.join(held.where("n > 1").select("lane", "fp", "rep"), ["lane", "fp"]).where("node <> rep")
         edges = edges.union(shared.where(F.col("lane") < lanes).select("node", "rep"))
         if samples:
-            edges = edges.union(close_pairs(shared.where(F.col("lane") >= lanes).select(F.col("node").alias("a"), F.col("rep").alias("b")), distinct, lanes))
+            edges = edges.union(sampled_edges(shared_samples(spread, held, lanes), distinct, lanes))
     reached = components(edges).select(F.col("node").alias("at"), "root")
     grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -282,14 +282,92 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
     return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
-def close_pairs(pairs: DataFrame, distinct: DataFrame, lanes: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose lanes differ in a small enough share of bits."""
-    pairs = pairs.distinct()
-    for end in ("a", "b"):
-        own = distinct.select(F.col("node").alias(end), F.slice("fps", 1, lanes).alias(f"fps_{end}"))
-        pairs = pairs.join(own, end)
-    differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.where(differing <= int(DIFFERING * 64 * lanes)).select("a", "b")
+def shared_samples(spread: DataFrame, held: DataFrame, lanes: int) -> DataFrame:
+    """(lane, fp, node) of the samples that several nodes have."""
+    several = held.where((F.col("n") > 1) & (F.col("lane") >= lanes)).select("lane", "fp")
+    return spread.join(several, ["lane", "fp"]).select("lane", "fp", "node")
+
+
+def sampled_edges(shared: DataFrame, distinct: DataFrame, lanes: int) -> DataFrame:
+    """Edges (a, b) that join the nodes of a sample whose lanes differ in a small enough share of bits into their components."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bucket in whole_groups(batches, 2):
+            nodes, prints = rows.column(2).to_numpy(), lane_bits(rows.column(3), lanes)
+            root = joined(bucket, lambda i, j, prints=prints: lanes_agree(prints, i, j))
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["a", "b"])
+
+    own = distinct.select("node", F.slice("fps", 1, lanes).alias("prints"))
+    rows = shared.join(own, "node").select("lane", "fp", "node", "prints")
+    rows = rows.repartition(partitions(shared.sparkSession), "lane", "fp").sortWithinPartitions("lane", "fp", "node")
+    return rows.mapInArrow(call, "a long, b long").distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by their first ``keys`` columns, as tables that part no group, with the number of each row's group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        starts = group_starts(now, keys)
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield now.slice(0, last), numbered(starts[:-1], last)
+        held = now.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.zeros(held.num_rows, dtype=np.int64)
+
+
+def group_starts(rows: pa.Table, keys: int) -> np.ndarray:
+    new = np.ones(rows.num_rows, dtype=bool)
+    if len(new):
+        own = [rows.column(k).to_numpy() for k in range(keys)]
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
+    return np.flatnonzero(new)
+
+
+def numbered(starts: np.ndarray, n: int) -> np.ndarray:
+    new = np.zeros(n, dtype=np.int64)
+    new[starts] = 1
+    return np.cumsum(new) - 1
+
+
+def lane_bits(column: pa.ChunkedArray, lanes: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+
+
+def lanes_agree(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lanes at places ``i`` and ``j`` together differ in few enough bits."""
+    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= int(DIFFERING * 64 * prints.shape[1])
+
+
+def joined(bucket: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first place of each place's component, of all pairs inside buckets that are ``near``; ``bucket`` is sorted.
+
+    Every pair is tried but those already joined, so a large group of near copies costs few tests.
+    """
+    root = np.arange(len(bucket))
+    open_at, step = np.arange(len(bucket)), 1
+    while True:
+        open_at = open_at[open_at + step < len(bucket)]
+        open_at = open_at[bucket[open_at] == bucket[open_at + step]]
+        if not len(open_at):
+            return root
+        i = open_at[root[open_at] != root[open_at + step]]
+        if len(i):
+            hit = near(i, i + step)
+            for k in i[hit].tolist():
+                a, b = k, k + step
+                while root[a] != a:
+                    a = int(root[a])
+                while root[b] != b:
+                    b = int(root[b])
+                root[max(a, b)] = min(a, b)
+            if hit.any():
+                while not np.array_equal(root, root[root]):
+                    root = root[root]
+        step += 1
 
 
 def node() -> Column:

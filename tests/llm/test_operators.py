@@ -147,6 +147,21 @@ def test_simhash_samples_find_near_copies(spark, docs, rows):
     assert all(linked[2 * k + 1] == (2 * k + 1,) for k in range(30, 60))
 
 
+def test_simhash_samples_try_all_of_a_bucket(spark):
+    """Pairs of near copies around one passage: a sample out of it has all pairs, and its first node is mostly of another."""
+    pick = random.Random(31)
+    passage = sentence(pick, 160)
+    rows = []
+    for k in range(80):
+        own = sentence(pick, 40).split()
+        rows += [(2 * k, f"{passage} {' '.join(own)}"), (2 * k + 1, f"{passage} {' '.join([*own[:20], 'changed', *own[21:]])}")]
+    prints = {i: simhash.fingerprint(t.encode(), 5, 4, 1) for i, t in rows}
+    differing = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a][:4], prints[b][:4], strict=True))
+    near = [k for k in range(0, 160, 2) if prints[k][4] == prints[k + 1][4] and differing(k, k + 1) <= 0.18 * 256]
+    found = by_id(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, lanes=4, samples=1), "component_id")
+    assert len(near) > 40 and all(found[k] == found[k + 1] for k in near)
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200, 0, -1)], "a long, b long")
     assert {r["root"] for r in components.components(path).collect()} == {1}
