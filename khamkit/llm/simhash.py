@@ -17,10 +17,11 @@ A bucket yields the edges of a spanning forest of its links, not its pairs.
 
 One fingerprint finds texts that are all but equal. Where near copies of a
 similarity of 0.8 or more matter, a text gets a few independent fingerprints
-(lanes) from remixed hashes of the same shingles, and sampled ones: each is the
-fingerprint of the few shingles that come first in an order of its own. Texts
-link within the radius in any lane, or if a sampled fingerprint agrees and the
-lanes together differ in few enough bits for that similarity.
+(lanes) from remixed hashes of its different shingles, and sampled ones: each
+is the fingerprint of the few shingles that come first in an order of its own.
+A sampled fingerprint that agrees proposes a pair, lanes that differ in far more
+bits than that similarity means discard it, and what is left is verified by the
+different shingles that both texts have. Only verified pairs link.
 """
 
 from __future__ import annotations
@@ -41,10 +42,13 @@ SEED = 42
 RADIUS = 2
 #: The largest bucket whose pairs one task compares; the second dealing can't exceed it.
 BUCKET = 256
-#: Shingles in a sample, and the share of differing bits up to which texts that share a sample link: at a cosine c two
-#: fingerprints differ in acos(c) / pi of their bits, and a similarity of 0.8 (a cosine of 0.89) means 0.15.
-SAMPLE = 7
-DIFFERING = 0.18
+#: Shingles in a sample, and the share of differing bits up to which texts that share a sample are verified: at a cosine c
+#: two fingerprints differ in acos(c) / pi of their bits. A similarity of 0.8 (a cosine of 0.89) means 0.15, 39 of four
+#: lanes' 256 bits with a deviation of 6; 76 are let through. Sixteen samples miss (1 - 0.8^3)^16 or 0.00001 of such pairs.
+SAMPLE = 3
+DIFFERING = 0.30
+#: Texts are near copies if they share so many parts of so many of the different shingles that either has.
+SIMILAR = (4, 5)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SAMPLE_ORDERS = mixed(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -78,33 +82,42 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int, lanes: int = 1, samples: int = 0) -> list[int]:
-    """For each lane the majority of each bit over the shingles, then for each sample over its own; 0 without words."""
+    """For each lane the majority of each bit over the shingles, then for each sample over its own; 0 without words.
+
+    With samples, lanes count each different shingle once, as the similarity does.
+    """
     words = text.translate(LOWER).split()
     if not words:
         return [0] * (lanes + samples)
     hashes = shingle_hashes(words, width)
+    if samples:
+        hashes = np.unique(hashes)
     votes = np.zeros(64 * lanes, dtype=np.int64)
     for k in range(0, len(hashes), 2048):
         votes += bit_votes(lane_hashes(hashes[k : k + 2048], lanes))
     out = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8").tolist()
     if samples:
-        own = np.unique(hashes)
-        first = [np.sort(np.partition(order, SAMPLE - 1)[:SAMPLE]) if len(own) > SAMPLE else np.sort(order) for order in (mixed(own ^ c) for c in SAMPLE_ORDERS[:samples])]
+        first = [np.sort(np.partition(order, SAMPLE - 1)[:SAMPLE]) if len(hashes) > SAMPLE else np.sort(order) for order in (mixed(hashes ^ c) for c in SAMPLE_ORDERS[:samples])]
         chosen = np.stack(first, axis=1)
         out += np.packbits(2 * bit_votes(chosen) > len(chosen), bitorder="little").view("<u8").tolist()
     return out
 
 
 def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, samples: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fps) of every row; fps lists the fingerprints of lanes, then of samples, as signed longs."""
+    """(doc_id, fps, text_key) of every row; fps lists the fingerprints of lanes, then of samples, as signed longs.
+
+    text_key is Spark's xxhash64 of the text.
+    """
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width, lanes, samples) for t in texts(batch.column(1))], dtype=np.uint64).reshape(-1, lanes + samples)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            own = texts(batch.column(1))
+            fps = np.array([fingerprint(t, width, lanes, samples) for t in own], dtype=np.uint64).reshape(-1, lanes + samples)
+            keys = np.array([xxhash.xxh64_intdigest(t, SEED) for t in own], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64())), pa.array(keys.view(np.int64))], names=["doc_id", "fps", "text_key"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return map_batches(docs, [doc_id, text], call, f"doc_id {kind}, fps array<long>")
+    return map_batches(docs, [doc_id, text], call, f"doc_id {kind}, fps array<long>, text_key long")
 
 
 #: Two of the four 16-bit blocks of a fingerprint, for each of the six choices.
@@ -261,34 +274,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
     Repeated rows give repeated rows. An empty table gives an empty result.
     """
     prints = checkpointed(fingerprints(docs, width, lanes, samples, doc_id, text))
-    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", node()))
+    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")).withColumn("node", node()))
     spread = distinct.select("node", F.posexplode("fps").alias("lane", "fp"))
+    if samples:
+        reached = verified(docs.select(F.col(text).alias("text")), distinct, sampled_edges(spread, distinct, lanes), width, lanes)
+    else:
+        reached = components(lane_edges(spread, lanes))
+    reached = reached.select(F.col("node").alias("at"), "root")
+    grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    members = grouped.select("node", "root").join(lowest, "root").select("node", "component_id")
+    return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
+
+
+def lane_edges(spread: DataFrame, lanes: int) -> DataFrame:
+    """Edges (a, b) that join the nodes (node, lane, fp) within the radius in any lane into their components."""
     # The first node of each fingerprint stands for all that share it.
     held = checkpointed(spread.groupBy("lane", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
-    found = links(held.where(F.col("lane") < lanes).select("lane", "fp"))
+    found = links(held.select("lane", "fp"))
     for end in ("a", "b"):
         rep = held.select("lane", F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
         found = found.join(rep, ["lane", end])
     edges = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    if lanes + samples > 1:
+    if lanes > 1:
         shared = spread.join(held.where("n > 1").select("lane", "fp", "rep"), ["lane", "fp"]).where("node <> rep")
-        edges = edges.union(shared.where(F.col("lane") < lanes).select("node", "rep"))
-        if samples:
-            edges = edges.union(sampled_edges(shared_samples(spread, held, lanes), distinct, lanes))
-    reached = components(edges).select(F.col("node").alias("at"), "root")
-    grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = grouped.select("node", "root").join(lowest, "root").select("node", "component_id")
-    return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
-
-
-def shared_samples(spread: DataFrame, held: DataFrame, lanes: int) -> DataFrame:
-    """(lane, fp, node) of the samples that several nodes have."""
-    several = held.where((F.col("n") > 1) & (F.col("lane") >= lanes)).select("lane", "fp")
-    return spread.join(several, ["lane", "fp"]).select("lane", "fp", "node")
+        edges = edges.union(shared.select("node", "rep"))
+    return edges
 
 
-def sampled_edges(shared: DataFrame, distinct: DataFrame, lanes: int) -> DataFrame:
+def sampled_edges(spread: DataFrame, distinct: DataFrame, lanes: int) -> DataFrame:
     """Edges (a, b) that join the nodes of a sample whose lanes differ in a small enough share of bits into their components."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +312,51 @@ def sampled_edges(shared: DataFrame, distinct: DataFrame, lanes: int) -> DataFra
             at = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["a", "b"])
 
+    samples = spread.where(F.col("lane") >= lanes)
+    several = samples.groupBy("lane", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lane", "fp")
     own = distinct.select("node", F.slice("fps", 1, lanes).alias("prints"))
-    rows = shared.join(own, "node").select("lane", "fp", "node", "prints")
-    rows = rows.repartition(partitions(shared.sparkSession), "lane", "fp").sortWithinPartitions("lane", "fp", "node")
+    rows = samples.join(several, ["lane", "fp"]).join(own, "node").select("lane", "fp", "node", "prints")
+    rows = rows.repartition(partitions(spread.sparkSession), "lane", "fp").sortWithinPartitions("lane", "fp", "node")
     return rows.mapInArrow(call, "a long, b long").distinct()
 
 
+def verified(docs: DataFrame, distinct: DataFrame, proposed: DataFrame, width: int, lanes: int) -> DataFrame:
+    """(node, root) for the nodes of ``proposed``; root is the smallest node reachable over pairs that share ``SIMILAR`` of their shingles.
+
+    One text of each node goes to the task of its proposed component, which
+    holds the shingles of one component at a time and tries all of its pairs
+    but those that sizes or lanes discard or that are already joined.
+    """
+    share, of = SIMILAR
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingled() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t.translate(LOWER).split(), width)).tobytes() for t in texts(batch.column(3))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.large_binary())], names=["part", "node", "prints", "shingles"])
+
+        for rows, bucket in whole_groups(shingled(), 1):
+            nodes, prints = rows.column(1).to_numpy(), lane_bits(rows.column(2), lanes)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column(3)]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+
+            def near(i: np.ndarray, j: np.ndarray, prints: np.ndarray = prints, sets: list[np.ndarray] = sets, size: np.ndarray = size) -> np.ndarray:
+                may = (of * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])) & lanes_agree(prints, i, j)
+                for k in np.flatnonzero(may).tolist():
+                    both = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+                    may[k] = of * both >= share * (size[i[k]] + size[j[k]] - both)
+                return may
+
+            root = joined(bucket, near)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+    parts = components(proposed).select("node", F.col("root").alias("part"))
+    wanted = parts.join(distinct.select("node", "text_key", F.slice("fps", 1, lanes).alias("prints")), "node")
+    rows = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["text_key"])
+    rows = rows.select("part", "node", "prints", "text").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "node")
+    return rows.mapInArrow(call, "node long, root long")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by their first ``keys`` columns, as tables that part no group, with the number of each row's group."""
     held: pa.Table | None = None

@@ -162,6 +162,29 @@ def test_simhash_samples_try_all_of_a_bucket(spark):
     assert len(near) > 40 and all(found[k] == found[k + 1] for k in near)
 
 
+def test_simhash_samples_link_by_similarity(spark):
+    """Pairs link from a real similarity of 0.8 on and not below, and so do groups of them."""
+    pick = random.Random(41)
+    rows = []
+    for k in range(160):
+        words = sentence(pick, 200).split()
+        other = list(words)
+        for at in pick.sample(range(3, 195, 6), 3 + k % 8):
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    # One group edited further and further, and one pair that differs in how often a line is repeated.
+    words = sentence(pick, 300).split()
+    for k in range(20):
+        words[11 * k + 5] = "edited"
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(2000, " ".join(words[:80])), (2001, " ".join(words[:80] + words[70:80] * 40))]
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 20 < len([a for a, b in pairs if a < 320]) < 140
+    found = by_id(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, lanes=4, samples=16), "component_id")
+    assert {i: c for i, (c,) in found.items()} == reached(sets, pairs)
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200, 0, -1)], "a long, b long")
     assert {r["root"] for r in components.components(path).collect()} == {1}
