@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from khamkit.llm.common import checkpointed, partitions
 from khamkit.llm.urls import host
 
-#: The most pages a wrapper is fitted on, and how many of a host one batch offers.
-PAGES, OFFERED = 12, 3
+#: The most pages a wrapper is fitted on. Each batch offers as many of a host, so that batches and partitions don't matter.
+PAGES = 12
 #: A text is taken for template only if this many different pages all have it.
 LEAST_PAGES = 5
 #: Wrappers are broadcast up to so many bytes, else joined.
@@ -334,7 +334,7 @@ def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if page:
                 first.setdefault(name, []).append((xxhash.xxh3_64_intdigest(page.encode()) >> 1, page))
-        rows = [(name, h, json.dumps(tree(stream(p)))) for name, own in first.items() for h, p in sorted(set(own))[:OFFERED]]
+        rows = [(name, h, json.dumps(tree(stream(p)))) for name, own in first.items() for h, p in sorted(set(own))[:PAGES]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["host", "order", "tree"])
 
 

@@ -553,6 +553,18 @@ def test_main_text(spark):
     assert wrappers.main_text(none).count() == 0
 
 
+def test_wrappers_hang_on_pages_alone(spark):
+    """A host in one batch and the same host in many partitions: the shared sentence is template in both."""
+    given = [(k, f"http://h.example/{k}", page(k)) for k in range(40)]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    one, many = (by_id_of_page(wrappers.main_text(p)) for p in (pages.coalesce(1), pages.repartition(20)))
+    assert one == many and one[30] == "Title 30\nFirst para 30 é boldtext next\none 30\ntwo 30"
+
+
+def by_id_of_page(df):
+    return {r["page_id"]: r["text"] for r in df.collect()}
+
+
 def test_wrappers_are_union_free():
     a, b = (wrappers.tree(wrappers.stream(page(k))) for k in (0, 3))
     shown = wrappers.expression(wrappers.aligned(a, b))
