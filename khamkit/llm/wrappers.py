@@ -260,7 +260,8 @@ def settled(wrapper: list[list], pages: int) -> dict[str, int]:
     """Verdicts by place ('path') and, for template texts, by place and text ('path#hash'): 1 keeps, 0 drops.
 
     Pages that share more than half of what stands outside the template's own
-    elements are copies of one another; their common text is no template.
+    elements are copies of one another; their common text is no template. Whether
+    a main part outranks other places is settled page by page, by what it has.
     """
     slots: dict[str, list[int]] = {}
     common: dict[str, int] = {}
@@ -283,8 +284,7 @@ def settled(wrapper: list[list], pages: int) -> dict[str, int]:
     whole = sum(n for p, (n, _) in slots.items() if within[p])
     if 2 * pages * sum(shared.values()) > whole:
         shared = {}
-    named = any(v == 2 for v in within.values())
-    verdicts = {p: int(within[p] == 2 if named else within[p] > 0 and 2 * slots[p][1] <= slots[p][0]) for p in slots}
+    verdicts = {p: int(within[p] == 2 or (within[p] > 0 and 2 * slots[p][1] <= slots[p][0])) for p in slots}
     return verdicts | dict.fromkeys(shared, 0)
 
 
@@ -364,8 +364,8 @@ def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, pages, wrapper, verdicts) of every host that has a page."""
-    rows = pages.select(host(url).alias("host"), F.col(page).alias("html")).mapInArrow(offered, "host string, order long, tree string")
+    """(host, pages, wrapper, verdicts) of every host that has a page; pages of no host are of many sites and get none."""
+    rows = pages.select(host(url).alias("host"), F.col(page).alias("html")).where("host <> ''").mapInArrow(offered, "host string, order long, tree string")
     n = partitions(pages.sparkSession)
     rows = rows.repartition(n, "host").sortWithinPartitions("host", "order")
     return rows.mapInArrow(inferred, "host string, pages int, wrapper string, verdicts string")
@@ -391,8 +391,8 @@ def extract(n_columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def main_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` (the main text, empty if none) and ``n_chars``.
 
-    Null html is an empty page; null urls and urls without :// share the empty
-    host and its wrapper. Columns named text or n_chars are replaced. Repeated
+    Null html is an empty page; pages with null urls and urls without :// have no
+    wrapper and are settled by their own elements. Columns named text or n_chars are replaced. Repeated
     rows are extracted each; an empty table gives an empty result.
     """
     known = checkpointed(wrappers(pages, url, page).select(F.col("host").alias("own_host"), "verdicts"))

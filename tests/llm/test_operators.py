@@ -561,6 +561,15 @@ def test_wrappers_hang_on_pages_alone(spark):
     assert one == many and one[30] == "Title 30\nFirst para 30 é boldtext next\none 30\ntwo 30"
 
 
+def test_pages_of_two_templates_and_of_no_host(spark):
+    """Pages without a main part keep their text where others of the host have one, and foreign pages without host too."""
+    given = [(k, f"http://h.example/{k}", f"<article><p>Article text {k}</p></article><div><p>Side {k}</p></div>" if k % 2 else f"<div><p>Plain text {k}</p></div>") for k in range(12)]
+    given += [(100 + k, None if k % 2 else "no url", f"<div><p>Own text {k}</p><p>Same sentence</p></div>") for k in range(8)]
+    found = by_id_of_page(wrappers.main_text(spark.createDataFrame(given, "page_id long, url string, html string")))
+    assert all(found[k] == (f"Article text {k}" if k % 2 else f"Plain text {k}") for k in range(12))
+    assert all(found[100 + k] == f"Own text {k}\nSame sentence" for k in range(8))
+
+
 def by_id_of_page(df):
     return {r["page_id"]: r["text"] for r in df.collect()}
 
