@@ -35,6 +35,8 @@ from khamkit.llm.urls import host
 PAGES = 12
 #: A text is taken for template only if this many different pages all have it.
 LEAST_PAGES = 5
+#: Cells of the table that aligns two lists of siblings; longer lists are aligned in pieces.
+CELLS = 40_000
 #: Wrappers are broadcast up to so many bytes, else joined.
 BROADCAST_BYTES = 16_000_000
 
@@ -223,10 +225,48 @@ def merged(a: list, b: list, one_page: bool = False) -> list:
 
 
 def aligned(a: list[list], b: list[list], one_page: bool = False) -> list[list]:
-    """Both lists as one, by their longest common order; what one lacks becomes optional."""
-    if len(a) * len(b) > 40_000:
-        a, b = a[:200], b[:200]
-    alike = lambda x, y: x[0] == y[0] and (x[0] == "t" or x[1] == y[1])
+    """Both lists as one, by their longest common order; what one lacks becomes optional.
+
+    Of long lists the equal beginning and end are aligned first and the rest
+    piece by piece, each up to its last match; nothing is left out.
+    """
+    out: list[list] = []
+    end: list[list] = []
+    if len(a) * len(b) > CELLS:
+        n = min(len(a), len(b))
+        start = next((k for k in range(n) if not alike(a[k], b[k])), n)
+        stop = next((k for k in range(n - start) if not alike(a[-1 - k], b[-1 - k])), n - start)
+        out = [merged(x, y, one_page) for x, y in zip(a[:start], b[:start], strict=True)]
+        end = [merged(x, y, one_page) for x, y in zip(a[len(a) - stop :], b[len(b) - stop :], strict=True)]
+        a, b = a[start : len(a) - stop], b[start : len(b) - stop]
+    while len(a) * len(b) > CELLS:
+        short = min(len(a), len(b), int(CELLS**0.5))
+        long = CELLS // short
+        i, j = (short, long) if len(a) <= len(b) else (long, short)
+        piece, last = ordered(a[:i], b[:j], one_page)
+        if last is None:
+            # No match: go on in the longer list.
+            i, j = (0, min(j, len(b))) if len(a) <= len(b) else (min(i, len(a)), 0)
+            out += [lacking(x) for x in (a[:i] or b[:j])]
+        else:
+            size, i, j = last
+            out += piece[:size]
+        a, b = a[i:], b[j:]
+    return folded(out + ordered(a, b, one_page)[0] + end)
+
+
+def alike(x: list, y: list) -> bool:
+    return x[0] == y[0] and (x[0] == "t" or x[1] == y[1])
+
+
+def lacking(node: list) -> list:
+    """A node that other pages lack."""
+    return node if node[0] == "t" else [*node[:3], True, node[4]]
+
+
+def ordered(a: list[list], b: list[list], one_page: bool) -> tuple[list[list], tuple[int, int, int] | None]:
+    """Both lists as one, and how much of it, of ``a`` and of ``b`` ends with the last match."""
+    last = None
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -236,12 +276,13 @@ def aligned(a: list[list], b: list[list], one_page: bool = False) -> list[list]:
         if i < len(a) and j < len(b) and alike(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
             out.append(merged(a[i], b[j], one_page))
             i, j = i + 1, j + 1
+            last = len(out), i, j
         else:
             left = j >= len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1])
             node = a[i] if left else b[j]
             i, j = (i + 1, j) if left else (i, j + 1)
-            out.append(node if node[0] == "t" else [*node[:3], True, node[4]])
-    return folded(out)
+            out.append(lacking(node))
+    return out, last
 
 
 def expression(nodes: list[list]) -> str:

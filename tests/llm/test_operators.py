@@ -574,6 +574,17 @@ def by_id_of_page(df):
     return {r["page_id"]: r["text"] for r in df.collect()}
 
 
+def test_long_lists_are_aligned_whole():
+    pick = random.Random(8)
+    nodes = lambda n, last: [["e", f"div[class={pick.choice(WORDS)}]", [], False, False] for _ in range(n)] + [["e", f"p[class={last}]", [], False, False]]
+    for a, b in ((nodes(400, "end"), nodes(500, "end")), (nodes(5, "end"), nodes(9000, "end")), (nodes(700, "end"), nodes(600, "other")), (nodes(0, "end"), nodes(50_000, "other"))):
+        both = wrappers.aligned(a, b)
+        assert {n[1] for n in both} == {n[1] for n in a + b}
+        assert max(len(a), len(b)) * 0.8 <= len(both) <= len(a) + len(b)
+        if a[-1] == b[-1]:
+            assert both[-1][1] == "p[class=end]" and not both[-1][3]
+
+
 def test_wrappers_are_union_free():
     a, b = (wrappers.tree(wrappers.stream(page(k))) for k in (0, 3))
     shown = wrappers.expression(wrappers.aligned(a, b))
