@@ -34,6 +34,8 @@ TOXIC, CLEAN, FEATURES, NEAREST, BLOCK = 2000, 4000, 4000, 15, 64
 #: The least chi-square of a feature against the classes, and the least examples that have it.
 LEAST_CHI, LEAST_COUNT = 30.0, 4
 BEGINNINGS = (4, 5, 6)
+#: Tokens of more bytes are taken for several words without blanks.
+LONG = 40
 #: The weight of the class shares beside the votes.
 LEAN = 0.25
 REMEMBERED = 400_000
@@ -41,8 +43,11 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 
 
 def word_features(word: bytes) -> list[bytes]:
-    """The word, and its beginnings marked by a blank."""
-    return [word[:40], *(b" " + word[:n] for n in BEGINNINGS if len(word) > n)]
+    """The word, and its beginnings marked by a blank; of a long token every piece counts as a beginning, so all of it does."""
+    out = [word, *(b" " + word[:n] for n in BEGINNINGS if len(word) > n)]
+    if len(word) > LONG:
+        out += [b" " + word[k : k + n] for n in BEGINNINGS for k in range(1, len(word) - n + 1) if word[k] & 0xC0 != 0x80]
+    return out
 
 
 class Features(dict):

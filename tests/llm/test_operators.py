@@ -509,6 +509,17 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.scored(docs, bare).collect()} == {0.0}
 
 
+def test_toxicity_reads_long_tokens_whole(spark):
+    pick = random.Random(17)
+    join = lambda *words: "–".join(words)
+    texts = [(i, sentence(pick, 60) + " " + (join(*[pick.choice(WORDS) for _ in range(12)], "vilefoe") if i % 2 else join(*[pick.choice(WORDS) for _ in range(12)]))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()}
+    held = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(score[i] >= 0.5) == (i % 2 == 1) for i in held]) > 0.9
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(5)
     vectors = []
