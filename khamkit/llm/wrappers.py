@@ -4,37 +4,44 @@ A page is read as a stream of well-formed tags and texts. The streams of a few
 pages of one host are aligned one after another: equal tags match, siblings of
 one shape fold into a repeated group, what one side lacks becomes optional, and
 texts that differ become slots. The result is a regular expression without
-unions. Its slots and constant texts tell the host's template from what pages
-fill in: a text that all pages share is template, and of the slots those of
-the main part are kept, by the elements around them and the text they carry.
+unions. Its slots decide what is main text: texts that all pages share are
+template, and the article is the element that holds nearly all of what the
+slots of the host's pages carry, whatever it is called.
 
-Pages then go through their host's wrapper one by one. Text at places the
-wrapper hasn't seen, and hosts with too few pages, are settled by the elements
-around the text alone.
+Pages then go through their host's wrapper one by one. A page that has nothing
+at the article's place, and pages of hosts with too few pages or without such
+an element, are settled by the elements around each text.
 
-A wrapper is fitted on at most ``PAGES`` pages of a host, chosen by hash; every
-page is extracted whole.
+A wrapper is fitted on at most ``PAGES`` different pages of a host, those with
+the smallest hashes; every page is extracted whole. Nothing here recurses, so
+pages may be nested to any depth.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from khamkit.llm.common import checkpointed, partitions
+from khamkit.llm.common import checkpointed
 from khamkit.llm.urls import host
 
 #: The most pages a wrapper is fitted on. Each batch offers as many of a host, so that batches and partitions don't matter.
 PAGES = 12
-#: A text is taken for template only if this many different pages all have it.
+#: A wrapper of fewer pages decides nothing; a text is template only if as many different pages all have it.
 LEAST_PAGES = 5
+#: The share of what slots carry that the article's element holds, and the share of links that makes a repeated group a menu.
+HOLDS, LINKS = 0.7, 0.9
 #: Cells of the table that aligns two lists of siblings; longer lists are aligned in pieces.
 CELLS = 40_000
 #: Wrappers are broadcast up to so many bytes, else joined.
@@ -57,13 +64,18 @@ CLOSED_BY = {
 }
 #: What an open element of these can't be closed across by a sibling.
 SCOPES = frozenset("table ul ol dl select article section div main".split())
-#: Words of a class, id or role that name what isn't article text.
+#: Words of a class, id or role that name what isn't article text, outside a main part.
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar aside rail widget widgets footer header masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended trending comment comments reply replies discussion disqus responses "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended trending comment comments commentlist reply replies discussion disqus responses "
     "pagination pager toolbar skip hidden copyright legal contentinfo complementary banner".split()
 )
+#: Of these the names that count inside a main part too. They say what goes by the task itself: reader comments, adverts,
+#: sidebars, consent and sign-up notices, share bars. Words that can name a section of an article are not among them.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising sponsored sidebar breadcrumb breadcrumbs pagination navbar cookie cookies consent gdpr newsletter signup share sharing comment comments commentlist disqus".split())
 MAIN_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
+#: Elements that can be an article as a whole.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
@@ -78,19 +90,29 @@ def signature(tag: str, attributes: str) -> str:
     return tag + "".join(f"[{k}={' '.join(v.split())}]" for k, v in named if v)
 
 
-def boiler(sign: str) -> bool:
-    """Whether an element is by its name no part of the article."""
+@lru_cache(100_000)
+def named(sign: str) -> tuple[bool, bool, bool]:
+    """Whether an element is by its tag or names no article text, whether it is so inside an article too, whether it is a main part."""
     tag, _, rest = sign.partition("[")
-    if tag in DROPPED:
-        return True
-    return bool(rest) and not BOILER.isdisjoint(WORDS.findall(re.sub(r"\b(class|id|role)=", " ", rest)))
+    names = set(WORDS.findall(re.sub(r"\b(class|id|role)=", " ", rest)))
+    dropped = tag in DROPPED
+    main = tag in ("article", "main") or (tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(names))
+    return dropped or not BOILER.isdisjoint(names), dropped or not FOREIGN.isdisjoint(names), main
 
 
-def main_part(sign: str) -> bool:
-    tag, _, rest = sign.partition("[")
-    if tag in ("article", "main"):
-        return True
-    return tag in ("div", "section", "td") and bool(rest) and not MAIN_WORDS.isdisjoint(WORDS.findall(re.sub(r"\b(class|id|role)=", " ", rest)))
+def foreign(sign: str) -> bool:
+    """Whether an element is no article text wherever it stands."""
+    return not sign.startswith(("html", "body")) and named(sign)[1]
+
+
+def entered(state: int, sign: str) -> int:
+    """What text in an element is, by the element around it: 0 no article text, wherever it stands; 2 in a main part; else 1."""
+    if not state or sign.startswith(("html", "body")):
+        return state
+    outside, inside, main = named(sign)
+    if state == 2:
+        return 0 if inside else 2
+    return 0 if outside else 2 if main else 1
 
 
 def stream(page: str) -> Iterator[tuple[str, object]]:
@@ -100,9 +122,19 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
     page's end is dropped. Inline elements part no text.
     """
     open_: list[tuple[str, str]] = []
+    counts: Counter[str] = Counter()
+    #: Places in open_ of the elements that a sibling closes or that scope those.
+    closable: list[int] = []
     held: list[str] = []
     links = linked = 0
 
+    def closed() -> tuple[str, str]:
+        tag, sign = open_.pop()
+        counts[tag] -= 1
+        if closable and closable[-1] == len(open_):
+            closable.pop()
+        return tag, sign
+
     def text() -> Iterator[tuple[str, object]]:
         nonlocal linked
         whole = " ".join(html.unescape("".join(held)).split())
@@ -129,18 +161,18 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
             if tag in INLINE:
                 links = max(0, links - (tag == "a"))
                 continue
-            if any(t == tag for t, _ in open_):
+            if counts[tag]:
                 yield from text()
                 links = 0
                 while open_:
-                    t, sign = open_.pop()
+                    t, sign = closed()
                     yield ">", sign
                     if t == tag:
                         break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             if not m[3].endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag in INLINE or tag in VOID:
@@ -153,62 +185,108 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
         links = 0
         if tag in VOID:
             continue
-        for k in range(len(open_) - 1, -1, -1):
+        for k in reversed(closable):
             if tag in CLOSED_BY.get(open_[k][0], ()):
                 while len(open_) > k:
-                    yield ">", open_.pop()[1]
+                    yield ">", closed()[1]
                 break
             if open_[k][0] in SCOPES:
                 break
         if m[3].rstrip().endswith("/"):
             continue
         sign = signature(tag, m[3])
+        if tag in SCOPES or tag in CLOSED_BY:
+            closable.append(len(open_))
         open_.append((tag, sign))
+        counts[tag] += 1
         yield "<", sign
     yield from text()
     while open_:
-        yield ">", open_.pop()[1]
+        yield ">", closed()[1]
 
 
 # A wrapper is a list of nodes: ["t", {hash: length} of the texts that all pages so far have there, pages, characters,
 # linked characters, whether texts differed] for texts, ["e", signature, children, optional, repeated] for an element.
 
 
+def done(job: Generator) -> object:
+    """What a generator returns that yields the generators whose results it asks for: recursion of any depth."""
+    stack, value = [job], None
+    while True:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+            if not stack:
+                return value
+
+
 def tree(tokens: Iterator[tuple[str, object]]) -> list[list]:
     """The nodes of one page's stream, repeats folded."""
-    top: list[list] = []
-    path: list[tuple[str, list]] = []
-    now = top
+    path: list[list] = []
+    now: list[list] = []
     for kind, value in tokens:
         if kind == "<":
             children: list[list] = []
             now.append(["e", value, children, False, False])
-            path.append((value, now))
+            path.append(now)
             now = children
         elif kind == ">":
-            _, above = path.pop()
-            above[-1][2] = folded(now)
+            above = path.pop()
+            above[-1][2] = done(folded(now))
             now = above
         else:
             now.append(["t", {str(xxhash.xxh3_64_intdigest(value[0].encode())): len(value[0])}, 1, len(value[0]), value[1], False])
-    return folded(top)
+    return done(folded(now))
+
+
+def flat(nodes: list[list]) -> list:
+    """The nodes as one list, an element's children between it and a null, for writing nodes of any depth as JSON."""
+    out: list = []
+    todo = [iter(nodes)]
+    while todo:
+        n = next(todo[-1], None)
+        if n is None:
+            todo.pop()
+            out += [None] * bool(todo)
+        elif n[0] == "t":
+            out.append(n)
+        else:
+            out.append(["e", n[1], n[3], n[4]])
+            todo.append(iter(n[2]))
+    return out
 
 
-def folded(nodes: list[list]) -> list[list]:
+def unflat(rows: list) -> list[list]:
+    path: list[list] = [[]]
+    for r in rows:
+        if r is None:
+            path.pop()
+        elif r[0] == "t":
+            path[-1].append(r)
+        else:
+            path[-1].append(["e", r[1], [], r[2], r[3]])
+            path.append(path[-1][-1][2])
+    return path[0]
+
+
+def folded(nodes: list[list]) -> Generator:
     """Runs of adjacent groups of equal signatures become one repeated group."""
     out: list[list] = []
     for node in nodes:
         if out and node[0] == "e" and out[-1][0] == "e" and out[-1][1] == node[1]:
-            out[-1] = merged(out[-1], node, True)
+            out[-1] = yield merged(out[-1], node, True)
             out[-1][4] = True
         else:
             out.append(node)
         for period in (2, 3):
-            if len(out) >= 2 * period and all(a[0] == b[0] and (a[0] == "t" or a[1] == b[1]) for a, b in zip(out[-period:], out[-2 * period : -period], strict=True)):
+            if len(out) >= 2 * period and all(alike(a, b) for a, b in zip(out[-period:], out[-2 * period : -period], strict=True)):
                 tail = out[-period:]
                 del out[-period:]
                 for k, x in enumerate(tail):
-                    same = merged(out[k - period], x, True)
+                    same = yield merged(out[k - period], x, True)
                     if same[0] == "e":
                         same[4] = True
                     out[k - period] = same
@@ -216,15 +294,18 @@ def folded(nodes: list[list]) -> list[list]:
     return out
 
 
-def merged(a: list, b: list, one_page: bool = False) -> list:
-    """Two nodes at one place of the wrapper: of the same pages, or of others."""
-    if a[0] == "t":
-        texts = a[1] | b[1] if one_page else {h: n for h, n in a[1].items() if h in b[1]}
-        return ["t", texts, max(a[2], b[2]) if one_page else a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] or b[5] or a[1].keys() != b[1].keys()]
-    return ["e", a[1], aligned(a[2], b[2], one_page), a[3] or b[3], a[4] or b[4]]
+def merged(a: list, b: list, one_page: bool = False) -> Generator:
+    """Two nodes at one place of the wrapper: of one page (``a`` takes ``b`` in), or of others."""
+    if a[0] == "e":
+        return ["e", a[1], (yield aligned(a[2], b[2], one_page)), a[3] or b[3], a[4] or b[4]]
+    differ = a[5] or b[5] or a[1].keys() != b[1].keys()
+    if one_page:
+        a[1].update(b[1])
+        return ["t", a[1], max(a[2], b[2]), a[3] + b[3], a[4] + b[4], differ]
+    return ["t", {h: n for h, n in a[1].items() if h in b[1]}, a[2] + b[2], a[3] + b[3], a[4] + b[4], differ]
 
 
-def aligned(a: list[list], b: list[list], one_page: bool = False) -> list[list]:
+def aligned(a: list[list], b: list[list], one_page: bool = False) -> Generator:
     """Both lists as one, by their longest common order; what one lacks becomes optional.
 
     Of long lists the equal beginning and end are aligned first and the rest
@@ -236,23 +317,27 @@ def aligned(a: list[list], b: list[list], one_page: bool = False) -> list[list]:
         n = min(len(a), len(b))
         start = next((k for k in range(n) if not alike(a[k], b[k])), n)
         stop = next((k for k in range(n - start) if not alike(a[-1 - k], b[-1 - k])), n - start)
-        out = [merged(x, y, one_page) for x, y in zip(a[:start], b[:start], strict=True)]
-        end = [merged(x, y, one_page) for x, y in zip(a[len(a) - stop :], b[len(b) - stop :], strict=True)]
+        for x, y in zip(a[:start], b[:start], strict=True):
+            out.append((yield merged(x, y, one_page)))
+        for x, y in zip(a[len(a) - stop :], b[len(b) - stop :], strict=True):
+            end.append((yield merged(x, y, one_page)))
         a, b = a[start : len(a) - stop], b[start : len(b) - stop]
     while len(a) * len(b) > CELLS:
         short = min(len(a), len(b), int(CELLS**0.5))
         long = CELLS // short
         i, j = (short, long) if len(a) <= len(b) else (long, short)
-        piece, last = ordered(a[:i], b[:j], one_page)
+        pairs = in_order(a[:i], b[:j])
+        last = next((k for k in range(len(pairs) - 1, -1, -1) if None not in pairs[k]), None)
         if last is None:
             # No match: go on in the longer list.
             i, j = (0, min(j, len(b))) if len(a) <= len(b) else (min(i, len(a)), 0)
             out += [lacking(x) for x in (a[:i] or b[:j])]
         else:
-            size, i, j = last
-            out += piece[:size]
+            out += yield together(a, b, pairs[: last + 1], one_page)
+            i, j = pairs[last][0] + 1, pairs[last][1] + 1
         a, b = a[i:], b[j:]
-    return folded(out + ordered(a, b, one_page)[0] + end)
+    out += yield together(a, b, in_order(a, b), one_page)
+    return (yield folded(out + end))
 
 
 def alike(x: list, y: list) -> bool:
@@ -264,186 +349,267 @@ def lacking(node: list) -> list:
     return node if node[0] == "t" else [*node[:3], True, node[4]]
 
 
-def ordered(a: list[list], b: list[list], one_page: bool) -> tuple[list[list], tuple[int, int, int] | None]:
-    """Both lists as one, and how much of it, of ``a`` and of ``b`` ends with the last match."""
-    last = None
+def in_order(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
+    """Places of ``a`` and ``b`` in their longest common order: both, or one that the other lacks."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if alike(a[i], b[j]) else 0)
-    out, i, j = [], 0, 0
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and alike(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merged(a[i], b[j], one_page))
+            out.append((i, j))
             i, j = i + 1, j + 1
-            last = len(out), i, j
+        elif j >= len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            out.append((i, None))
+            i += 1
         else:
-            left = j >= len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1])
-            node = a[i] if left else b[j]
-            i, j = (i + 1, j) if left else (i, j + 1)
-            out.append(lacking(node))
-    return out, last
+            out.append((None, j))
+            j += 1
+    return out
 
 
-def expression(nodes: list[list]) -> str:
-    """The wrapper as a union-free regular expression, for people."""
+def together(a: list[list], b: list[list], pairs: list[tuple[int | None, int | None]], one_page: bool) -> Generator:
     out = []
-    for n in nodes:
-        if n[0] == "t":
-            out.append("#text" if n[5] else "#constant")
+    for i, j in pairs:
+        if i is None or j is None:
+            out.append(lacking(b[j] if i is None else a[i]))
         else:
-            inner = f"<{n[1]}>{expression(n[2])}</{n[1].partition('[')[0]}>"
-            out.append(f"({inner}){'+' if n[4] else ''}{'?' if n[3] else ''}" if n[3] or n[4] else inner)
-    return " ".join(out)
+            out.append((yield merged(a[i], b[j], one_page)))
+    return out
 
 
-def settled(wrapper: list[list], pages: int) -> dict[str, int]:
-    """Verdicts by place ('path') and, for template texts, by place and text ('path#hash'): 1 keeps, 0 drops.
+def joined(a: list[list], b: list[list]) -> list[list]:
+    """The wrapper of two, or of a wrapper and a page's nodes."""
+    return done(aligned(a, b))
 
-    Pages that share more than half of what stands outside the template's own
-    elements are copies of one another; their common text is no template. Whether
-    a main part outranks other places is settled page by page, by what it has.
-    """
-    slots: dict[str, list[int]] = {}
-    common: dict[str, int] = {}
 
-    def walk(nodes: list[list], path: tuple[str, ...]) -> None:
-        for n in nodes:
-            if n[0] == "e":
-                walk(n[2], (*path, n[1]))
-                continue
-            place = "\n".join(path)
-            have = slots.setdefault(place, [0, 0])
-            have[0] += n[3]
-            have[1] += n[4]
-            if n[2] >= pages >= LEAST_PAGES:
-                common.update({f"{place}#{h}": size for h, size in n[1].items()})
-
-    walk(wrapper, ())
-    within = {p: place_verdict(p.split("\n") if p else []) for p in slots}
-    shared = {k: size for k, size in common.items() if within[k.rpartition("#")[0]]}
-    whole = sum(n for p, (n, _) in slots.items() if within[p])
-    if 2 * pages * sum(shared.values()) > whole:
-        shared = {}
-    verdicts = {p: int(within[p] == 2 or (within[p] > 0 and 2 * slots[p][1] <= slots[p][0])) for p in slots}
-    return verdicts | dict.fromkeys(shared, 0)
-
-
-def place_verdict(path: list[str]) -> int:
-    """0 inside an element that is no article text, wherever it stands; else 2 inside a main part, else 1."""
-    out = 1
-    for k, sign in enumerate(path):
-        if sign.startswith(("html", "body")):
+def expression(nodes: list[list]) -> str:
+    """The wrapper as a union-free regular expression, for people."""
+    out: list[str] = []
+    ends: list[str] = []
+    first = True
+    for n in flat(nodes):
+        if n is None:
+            out.append(ends.pop())
+            first = False
             continue
-        if boiler(sign):
-            return 0
-        if main_part(sign):
-            out = 2
+        out.append("" if first else " ")
+        first = n[0] == "e"
+        if first:
+            marks = "+" * n[3] + "?" * n[2]
+            out.append(f"{'(' if marks else ''}<{n[1]}>")
+            ends.append(f"</{n[1].partition('[')[0]}>{')' if marks else ''}{marks}")
+        else:
+            out.append("#text" if n[5] else "#constant")
+    return "".join(out)
+
+
+def inner(place: int, sign: str) -> int:
+    """The name of an element's place in the wrapper: a hash of its path."""
+    return xxhash.xxh3_64_intdigest(sign.encode(), place)
+
+
+@dataclass
+class Open:
+    """An element of a wrapper while it is read: its place, what its slots carry, and what stands around it."""
+
+    place: int
+    foreign: bool = False
+    repeated: bool = False
+    heading: bool = False
+    carried: int = 0
+    headed: int = 0
+
+
+def settled(wrapper: list[list], pages: int) -> dict:
+    """What a wrapper decides: the article's place, its title's if that stands outside, menus in it, template texts.
+
+    The article is the innermost element, once a page, that holds ``HOLDS`` of what
+    the slots carry beside links. It is null, and pages are settled by their own
+    elements, if the wrapper has too few pages or nothing smaller than the body
+    holds so much. Menus are repeated groups that hold little but links. Pages
+    that share more than half of their text are copies of one another; their
+    common text is no template.
+    """
+    out: dict = {"article": None, "title": [], "menus": [], "template": []}
+    if pages < LEAST_PAGES:
+        return out
+    carried: Counter[int] = Counter()
+    headed: Counter[int] = Counter()
+    signs: dict[int, str] = {}
+    below: dict[int, list[int]] = {}
+    often: set[int] = set()
+    titles: set[int] = set()
+    links: dict[int, list[int]] = {}
+    template: dict[str, int] = {}
+    whole = 0
+    path = [Open(0)]
+    for n in flat(wrapper):
+        up = path[-1]
+        if n is None:
+            path.pop()
+            carried[up.place] += up.carried
+            headed[up.place] += up.headed
+            if not up.foreign:
+                path[-1].carried += up.carried
+                path[-1].headed += up.headed
+        elif n[0] == "e":
+            place, tag = inner(up.place, n[1]), n[1].partition("[")[0]
+            if place in signs or n[3]:
+                often.add(place)
+            else:
+                below.setdefault(up.place, []).append(place)
+            signs[place] = n[1]
+            path.append(Open(place, up.foreign or foreign(n[1]), up.repeated or bool(n[3]), up.heading or tag == "h1"))
+        else:
+            common = n[1] if n[2] >= pages else {}
+            varying = max(0, n[3] - pages * sum(common.values()) - n[4])
+            up.carried += varying
+            up.headed += varying if up.heading else 0
+            if not up.foreign:
+                whole += n[3]
+                template |= {f"{up.place}#{h}": size for h, size in common.items()}
+                if up.heading and not up.repeated and varying:
+                    titles.add(up.place)
+            if up.repeated:
+                have = links.setdefault(up.place, [0, 0])
+                have[0] += n[3]
+                have[1] += n[4]
+    if 2 * pages * sum(template.values()) <= whole:
+        out["template"] = sorted(template)
+    out["menus"] = sorted(p for p, (n, linked) in links.items() if linked >= LINKS * n)
+    root = path[0]
+    at = 0
+    while True:
+        own = [p for p in below.get(at, ()) if p not in often and signs[p].partition("[")[0] in CONTAINERS and not foreign(signs[p])]
+        best = max(own, key=lambda p: carried[p], default=None)
+        if best is None or not root.carried or carried[best] < HOLDS * root.carried:
+            break
+        at = best
+    if at and not signs[at].startswith(("html", "body")):
+        out["article"] = at
+        out["title"] = [] if headed[at] else sorted(titles)
     return out
 
 
-def extracted(page: str, verdicts: dict[str, int] | None) -> str:
-    """The main text: blocks in page order, one a line."""
-    path: list[str] = []
-    found: list[tuple[int, str]] = []
+def extracted(page: str, wrapper: dict | None) -> tuple[str, bool]:
+    """The main text, blocks in page order, one a line; and whether the wrapper decided it."""
+    article, title, menus, template = (wrapper[k] for k in ("article", "title", "menus", "template")) if wrapper else (None, (), (), ())
+    # Of each open element: its place, what its text is by the elements, and by the wrapper (0 outside the article).
+    path: list[tuple[int, int, int]] = [(0, 1, 0)]
+    by_element: list[tuple[int, str]] = []
+    by_wrapper: list[str] = []
+    seen = False
     for kind, value in stream(page):
         if kind == "<":
-            path.append(value)
+            place, own, inside = path[-1]
+            place = inner(place, value) if wrapper else 0
+            at_article = article is not None and place == article
+            seen = seen or at_article
+            path.append((place, entered(own, value), 2 if at_article else entered(inside, value)))
         elif kind == ">":
             path.pop()
         else:
             text, linked = value
-            own = place_verdict(path)
-            if verdicts is not None and own:
-                place = "\n".join(path)
-                if verdicts.get(f"{place}#{xxhash.xxh3_64_intdigest(text.encode())}") == 0:
-                    continue
-                known = verdicts.get(place)
-                own = own if known is None else (2 if known and own == 2 else 1 if known else 0)
+            place, own, inside = path[-1]
+            if template and f"{place}#{xxhash.xxh3_64_intdigest(text.encode())}" in template:
+                continue
+            if (inside and place not in menus) or place in title:
+                by_wrapper.append(text)
             if own == 1 and 2 * linked > len(text):
                 own = 0
             if own:
-                found.append((own, text))
-    best = max((k for k, _ in found), default=0)
-    return "\n".join(t for k, t in found if k == best)
+                by_element.append((own, text))
+    if seen:
+        return "\n".join(by_wrapper), True
+    best = max((k for k, _ in by_element), default=0)
+    return "\n".join(t for k, t in by_element if k == best), False
 
 
 def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each host of a batch, the trees of its first pages by hash."""
     for batch in batches:
-        first: dict[str, list[tuple[int, str]]] = {}
+        first: dict[str, set[tuple[int, str]]] = {}
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if page:
-                first.setdefault(name, []).append((xxhash.xxh3_64_intdigest(page.encode()) >> 1, page))
-        rows = [(name, h, json.dumps(tree(stream(p)))) for name, own in first.items() for h, p in sorted(set(own))[:PAGES]]
+                first.setdefault(name, set()).add((xxhash.xxh3_64_intdigest(page.encode()) >> 1, page))
+        rows = [(name, h, json.dumps(flat(tree(stream(p))))) for name, own in first.items() for h, p in heapq.nsmallest(PAGES, own)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["host", "order", "tree"])
 
 
 def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams trees sorted by host and hash; a host's first different pages make its wrapper."""
+    """The wrapper of each host, from rows sorted by host and hash."""
     name: str | None = None
     wrapper: list[list] = []
-    pages, last = 0, None
+    pages = 0
 
     def out() -> pa.RecordBatch:
         verdicts = json.dumps(settled(wrapper, pages))
         return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([pages], pa.int32()), pa.array([expression(wrapper)], pa.string()), pa.array([verdicts], pa.string())], names=["host", "pages", "wrapper", "verdicts"])
 
     for batch in batches:
-        for now, order, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for now, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = unflat(json.loads(data))
             if now != name:
                 if pages:
                     yield out()
-                name, wrapper, pages, last = now, [], 0, None
-            if order != last and pages < PAGES:
-                own = json.loads(data)
-                wrapper = aligned(wrapper, own) if pages else own
+                name, wrapper, pages = now, own, 1
+            else:
+                wrapper = joined(wrapper, own)
                 pages += 1
-                last = order
     if pages:
         yield out()
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, pages, wrapper, verdicts) of every host that has a page; pages of no host are of many sites and get none."""
+    """(host, pages, wrapper, verdicts) of every host that has a page; pages of no host are of many sites and get none.
+
+    Equal pages meet by hash, however often they occur; then each partition
+    sends at most ``PAGES`` trees of a host to the task that aligns them.
+    """
     rows = pages.select(host(url).alias("host"), F.col(page).alias("html")).where("host <> ''").mapInArrow(offered, "host string, order long, tree string")
-    n = partitions(pages.sparkSession)
-    rows = rows.repartition(n, "host").sortWithinPartitions("host", "order")
-    return rows.mapInArrow(inferred, "host string, pages int, wrapper string, verdicts string")
+    rows = rows.groupBy("host", "order").agg(F.first("tree").alias("tree"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("order"))).where(F.col("place") <= PAGES)
+    return first.sortWithinPartitions("host", "order").select("host", "tree").mapInArrow(inferred, "host string, pages int, wrapper string, verdicts string")
 
 
 def extract(n_columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str | None, dict[str, int] | None] = {None: None}
+        read: dict[str | None, dict | None] = {None: None}
         for batch in batches:
             found = []
             for page, known in zip(batch.column(n_columns).to_pylist(), batch.column(n_columns + 1).to_pylist(), strict=True):
                 if known not in read:
                     if len(read) > 2000:
                         read = {None: None}
-                    read[known] = json.loads(known)
+                    read[known] = {k: frozenset(v) if isinstance(v, list) else v for k, v in json.loads(known).items()}
                 found.append(extracted(page or "", read[known]))
             kept = [batch.column(k) for k in range(n_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], names=[*batch.schema.names[:n_columns], "main_text"])
+            made = [pa.array([t for t, _ in found], pa.string()), pa.array([w for _, w in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:n_columns], "main_text", "decided"])
 
     return call
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``pages`` without the html, with ``text`` (the main text, empty if none) and ``n_chars``.
+    """``pages`` without the html, with ``text`` (the main text, empty if none), ``n_chars`` and ``by_wrapper``.
 
-    Null html is an empty page; pages with null urls and urls without :// have no
-    wrapper and are settled by their own elements. Columns named text or n_chars are replaced. Repeated
+    ``by_wrapper`` tells whether the host's wrapper decided the text. Null html is
+    an empty page; pages with null urls and urls without :// have no wrapper and
+    are settled by their own elements. Pages may be of any length and nested to
+    any depth. Columns named text, n_chars or by_wrapper are replaced. Repeated
     rows are extracted each; an empty table gives an empty result.
     """
     known = checkpointed(wrappers(pages, url, page).select(F.col("host").alias("own_host"), "verdicts"))
     size = known.agg(F.sum(F.length("own_host") + F.length("verdicts"))).first()[0] or 0
     # Broadcast only within the bound; a longer table of wrappers is joined, and a hot host's pages are split by AQE.
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known.hint("merge")
-    rest = [c for c in pages.columns if c not in (page, "text", "n_chars")]
+    rest = [c for c in pages.columns if c not in (page, "text", "n_chars", "by_wrapper")]
     held = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
     rows = pages.select(*held, F.col(page).alias("html"), host(url).alias("host")).join(known, F.col("host") == F.col("own_host"), "left")
     kinds = dict(pages.dtypes)
-    schema = "".join(f"c{i} {kinds[c]}, " for i, c in enumerate(rest)) + "main_text string"
+    schema = "".join(f"c{i} {kinds[c]}, " for i, c in enumerate(rest)) + "main_text string, decided boolean"
     out = rows.select(*[f"c{i}" for i in range(len(rest))], "html", "verdicts").mapInArrow(extract(len(rest)), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), F.col("decided").alias("by_wrapper"))

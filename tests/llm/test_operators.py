@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -589,7 +590,7 @@ def test_long_lists_are_aligned_whole():
     pick = random.Random(8)
     nodes = lambda n, last: [["e", f"div[class={pick.choice(WORDS)}]", [], False, False] for _ in range(n)] + [["e", f"p[class={last}]", [], False, False]]
     for a, b in ((nodes(400, "end"), nodes(500, "end")), (nodes(5, "end"), nodes(9000, "end")), (nodes(700, "end"), nodes(600, "other")), (nodes(0, "end"), nodes(50_000, "other"))):
-        both = wrappers.aligned(a, b)
+        both = wrappers.joined(a, b)
         assert {n[1] for n in both} == {n[1] for n in a + b}
         assert max(len(a), len(b)) * 0.8 <= len(both) <= len(a) + len(b)
         if a[-1] == b[-1]:
@@ -598,15 +599,64 @@ def test_long_lists_are_aligned_whole():
 
 def test_wrappers_are_union_free():
     a, b = (wrappers.tree(wrappers.stream(page(k))) for k in (0, 3))
-    shown = wrappers.expression(wrappers.aligned(a, b))
+    shown = wrappers.expression(wrappers.joined(a, b))
     assert "(<li>#text</li>)+" in shown and "#constant" in shown and "|" not in shown
-    assert wrappers.expression(wrappers.aligned(wrappers.tree(wrappers.stream("<div><p>a</p></div>")), wrappers.tree(wrappers.stream("<div><h2>t</h2><p>b</p></div>")))) == "<div>(<h2>#constant</h2>)? <p>#text</p></div>"
+    assert wrappers.expression(wrappers.joined(wrappers.tree(wrappers.stream("<div><p>a</p></div>")), wrappers.tree(wrappers.stream("<div><h2>t</h2><p>b</p></div>")))) == "<div>(<h2>#constant</h2>)? <p>#text</p></div>"
+
+
+#: Templates of hosts with nothing in their names to go by; {0} is a text that differs on every page.
+NAMELESS = (
+    '<body><div class="a1"><div><a href="/">{0}</a></div></div><div class="b2"><h1>{title}</h1>{paragraphs}</div><div class="c3">{0}</div></body>',
+    '<body><table><tr><td class="x">{0}</td><td class="y">{paragraphs}<p>The same on all pages</p><ul><li><a>{0}</a><li><a>{0}</a></ul></td></tr></table>',
+    '<body><div class="t"><h1>{title}</h1></div><div class="u"><div class="v">{paragraphs}</div><div class="w">{0}</div></div><div class="z"><p>{0}</p></div></body>',
+    "<body><main><nav>{0}</nav><section class='legal notice'>{paragraphs}</section><section class='comments'><h1>{0}</h1><p>{0}{0}{0}</p></section></main><div>{0}</div></body>",
+)
+
+
+def nameless(template, k, pick):
+    """A page and its main text, known from how it is made."""
+    blocks = [f"{sentence(pick, pick.randint(20, 60))} {k}" for _ in range(pick.randint(2, 5))]
+    title = f"{sentence(pick, 4)} {k}"
+    html = template.replace("{title}", title).replace("{paragraphs}", "".join(f"<p>{b}</p>" for b in blocks))
+    while "{0}" in html:
+        html = html.replace("{0}", sentence(pick, 3), 1)
+    return html, "\n".join([title] * ("{title}" in template) + blocks)
+
+
+def test_wrappers_decide_where_names_say_nothing(spark):
+    """Against texts known by construction: slots find articles, titles beside them, menus and template texts; without wrapper they differ."""
+    pick = random.Random(11)
+    given = [(100 * t + k, f"https://site{t}.example/{k}", *nameless(template, k, pick)) for t, template in enumerate(NAMELESS) for k in range(30)]
+    pages = spark.createDataFrame([r[:3] for r in given], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in wrappers.main_text(pages).collect()}
+    for i, _, html, text in given:
+        assert found[i]["text"] == text and found[i]["by_wrapper"]
+        if i < 300:
+            assert wrappers.extracted(html, None)[0] != text, "by names alone the text is another"
+
+
+def test_sections_of_an_article_stay():
+    for name in ("legal", "related", "search", "widget", "notice", "reply", "footer"):
+        assert wrappers.extracted(f'<article><p>One</p><section class="{name}"><p>The court ruled today.</p></section></article><div>x</div>', None) == ("One\nThe court ruled today.", False)
+    for name in ("comments", "ad", "sidebar"):
+        assert wrappers.extracted(f'<article><p>One</p><div class="{name}"><p>Buy</p></div></article>', None) == ("One", False)
+
+
+def test_deep_pages(spark):
+    """Nesting has no limit, in wrappers and in texts; expressions and trees are kept whole."""
+    deep = lambda k, n: (k, "http://deep.example/", "<div>" * n + f"<p>Text {k} of a deep page</p>" + "</div>" * n)
+    given = [deep(k, 5_000) for k in range(3)] + [deep(10 + k, 600) for k in range(3)] + [(20, "http://deep.example/", "<ul><li>" * 20_000 + "end")]
+    found = by_id_of_page(wrappers.main_text(spark.createDataFrame(given, "page_id long, url string, html string")))
+    assert all(found[k] == f"Text {k} of a deep page" for k in (0, 1, 2, 10, 11, 12)) and found[20] == "end"
+    nodes = wrappers.tree(wrappers.stream(given[0][2]))
+    assert wrappers.unflat(json.loads(json.dumps(wrappers.flat(nodes)))) is not None
+    assert wrappers.expression(wrappers.joined(nodes, wrappers.tree(wrappers.stream(given[1][2])))).count("<div>") == 5_000
 
 
 def test_hostile_html_is_linear():
     import time
 
     began = time.perf_counter()
-    for text in ("<div" * 50_000, "<!--" * 50_000, "<b>" * 50_000, '<a "' * 20_000):
+    for text in ("<div" * 50_000, "<!--" * 50_000, "<b>" * 50_000, '<a "' * 20_000, "<div>" * 50_000, "<svg/>" * 50_000, "<blockquote>" * 50_000 + "</p>" * 50_000, "<p>x" * 50_000):
         wrappers.extracted(text, None)
     assert time.perf_counter() - began < 20
