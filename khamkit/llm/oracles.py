@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from khamkit.llm.urls import LISTED_NAMES, RULES
+from khamkit.llm.urls import RULES, listed_rows
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -19,7 +19,7 @@ SUBSTRING = f"""
     FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
 RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in RULES)
-LISTED_ROWS = ", ".join(f"('{n}.example.{t}', '/', 'block', false)" for n in LISTED_NAMES for t in ("com", "net", "org"))
+LISTED_ROWS = ", ".join(f"('{h}', '{p}', '{v}', false)" for h, p, v in listed_rows())
 
 URLS = rf"""
     WITH u AS (SELECT page_id,

@@ -15,6 +15,7 @@ for it only lets more keys through to the join.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from khamkit.llm.common import partitions
+from khamkit.llm.common import checkpointed, partitions
 
 #: Bits set for a key in its block of 512, bits of the filter for a key, and the most blocks (64 MB).
 BITS, PER_KEY, MOST_BLOCKS = 6, 16, 1 << 20
 SHARDS = 16
+#: What the list says of the pages' sets of keys is broadcast up to so many bytes, else joined, each set in so many parts.
+BROADCAST_BYTES, SALTS = 16_000_000, 64
+#: The list that comes with the library: host, path and verdict of canonical URLs.
+LISTED = Path(__file__).with_name("listed_urls.tsv")
 
 
 def host(url: str) -> Column:
@@ -117,6 +122,21 @@ def candidate_keys(filter_: object, blocks: int, lengths: list[int], column: int
     return call
 
 
+def answered(rows: DataFrame, found: DataFrame, most_bytes: int) -> DataFrame:
+    """``rows`` with the answer to their set of keys: a broadcast join within the bound, else a salted hash join.
+
+    Most pages have no key. They have a salt of their own each, so that they part
+    evenly; pages of one set, as those of a large listed host, part by salt.
+    """
+    size = found.agg(F.sum(F.length(F.array_join("may", "")) + F.length("best.key") + F.length("best.verdict") + 16)).first()[0] or 0
+    if size <= most_bytes:
+        return rows.join(F.broadcast(found), "may", "left")
+    place = F.monotonically_increasing_id()
+    salted = rows.withColumn("salt", F.when(F.size("may") > 0, place % SALTS).otherwise(place + SALTS))
+    parts = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(parts, ["may", "salt"], "left")
+
+
 def judged(pages: DataFrame, entries: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """``pages`` (without its texts) with host, path, rule and verdict, and listed: the same for the method's own entries.
 
@@ -143,8 +163,8 @@ def judged(pages: DataFrame, entries: DataFrame, default: str = "allow", url: st
     sets = rows.select("may").where(F.size("may") > 0).distinct()
     exact = sets.select("may", F.explode("may").alias("key")).join(keyed, "key")
     best = F.max(F.struct("ranked", F.length("key").alias("n"), "key", "verdict"))
-    found = exact.groupBy("may").agg(best.alias("best"))
-    rows = rows.join(found, "may", "left")
+    found = checkpointed(exact.groupBy("may").agg(best.alias("best")))
+    rows = answered(rows, found, BROADCAST_BYTES)
     return rows.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)],
         "host",
@@ -154,7 +174,7 @@ def judged(pages: DataFrame, entries: DataFrame, default: str = "allow", url: st
     )
 
 
-#: The rules of the query, and hosts listed by the method itself.
+#: The rules of the query.
 RULES = (
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -162,10 +182,17 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
-def listed(pages: DataFrame) -> DataFrame:
-    """The rules, and the listed names under the example domains."""
-    own = [(f"{name}.example.{top}", "/", "block", False) for name in LISTED_NAMES for top in ("com", "net", "org")]
-    return pages.sparkSession.createDataFrame([(*r, True) for r in RULES] + own, "host string, path string, verdict string, ranked boolean")
+def listed_rows(path: Path = LISTED) -> list[tuple[str, str, str]]:
+    """(host, path, verdict) of a list's lines; lines that begin with # don't count."""
+    lines = [x.split("\t") for x in path.read_text(encoding="utf-8").splitlines() if x and not x.startswith("#")]
+    return [(host, path, verdict) for host, path, verdict in lines]
+
+
+def listed(pages: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """The rules and the method's own list (host, path, verdict), by default the one that comes with the library."""
+    spark = pages.sparkSession
+    own = spark.createDataFrame(listed_rows(), "host string, path string, verdict string") if own is None else own.select("host", "path", "verdict")
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return rules.withColumn("ranked", F.lit(True)).unionByName(own.withColumn("ranked", F.lit(False)))

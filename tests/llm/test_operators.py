@@ -458,7 +458,10 @@ def test_sketches_estimate_and_merge(spark):
 # URLs.
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("most_bytes", [0, urls.BROADCAST_BYTES])
+def test_urls(spark, monkeypatch, most_bytes):
+    """By a broadcast and by a salted join."""
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", most_bytes)
     given = ["http://A.Example.ORG/es/x?y", "https://example.org/en/123", "http://x.com/fr/", "http://x.com/de/1#a", "http://xcom/fr/", "no scheme", None, "http://org", "ftp://spam-farm.example.net/q", "http://spam-farm.example.com/fr/1", "http://notexample.org/es/", "http://a.org/\nb", "http://é.org/é?", "http://x.com/fr", "://org/", "http://x.com?/fr/"]
     pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(given)] * 2, "page_id long, url string, html string")
     found = urls.judged(clashed(pages), urls.listed(pages)).collect()
@@ -468,11 +471,15 @@ def test_urls(spark):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
         host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
         fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        own = any(host == f"{n}.example.{t}" or host.endswith(f".{n}.example.{t}") for n in urls.LISTED_NAMES for t in ("com", "net", "org")) and path.startswith("/")
+        own = any((host == h or host.endswith(f".{h}")) and path.startswith(p) for h, p, _ in urls.listed_rows())
         rule, verdict = max(fits)[1:] if fits else (None, "block" if own else "allow")
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict), u
     none = spark.createDataFrame([], pages.schema)
     assert urls.judged(none, urls.listed(pages)).count() == 0
+    deep = spark.createDataFrame([(0, "http://" + "a." * 3000 + "spam-farm.example.com/" + "x" * 50_000)], "page_id long, url string")
+    assert urls.judged(deep, urls.listed(pages)).first()["verdict"] == "block"
+    mine = urls.listed(pages, spark.createDataFrame([("x.com", "/", "block", 1)], "host string, path string, verdict string, more int"))
+    assert {r["verdict"] for r in urls.judged(pages, mine).where("host = 'x.com' AND path = '/fr'").collect()} == {"block"}
     assert urls.judged(pages, spark.createDataFrame([], "host string, path string, verdict string, ranked boolean")).where("verdict = 'allow'").count() == 2 * len(given)
 
 
