@@ -9,6 +9,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that part words: space and U+0009 to U+000D; bytes.split() parts at the same six.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,6 +36,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key of more rows than HOT_ROWS, and than one in HOT_SHARE of all rows, is hot; so at most HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 256, 100_000
+
+
+def hot_joined(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has a row a key and in ``n`` how many rows of ``left`` have it.
+
+    ``total`` is the number of rows of ``left``. Hot keys, of which there are few
+    by their definition, are broadcast, so their rows stay where they are; the
+    rest meet in a shuffle. Both tables are read more than once.
+    """
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = right.where(F.col(n) > most).drop(n)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= most).drop(n), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def map_batches(df: DataFrame, columns: list[str], call: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``call`` over the Arrow batches of these columns only."""
     return df.select(*columns).mapInArrow(call, schema)

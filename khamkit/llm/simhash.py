@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from khamkit.llm.common import checkpointed, map_batches, mixed, partitions, texts
+from khamkit.llm.common import checkpointed, hot_joined, map_batches, mixed, partitions, texts
 from khamkit.llm.components import components
 
 SEED = 42
@@ -50,7 +50,8 @@ DIFFERING = 0.30
 #: Texts are near copies if they share so many parts of so many of the different shingles that either has.
 SIMILAR = (4, 5)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: References of the distance tables.
+PIVOTS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SAMPLE_ORDERS = mixed(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -274,17 +275,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
     Repeated rows give repeated rows. An empty table gives an empty result.
     """
     prints = checkpointed(fingerprints(docs, width, lanes, samples, doc_id, text))
-    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")).withColumn("node", node()))
+    rep = F.min(F.struct("doc_id", "text_key")).alias("rep")
+    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first"), rep, F.count(F.lit(1)).alias("n")).withColumn("node", node()))
     spread = distinct.select("node", F.posexplode("fps").alias("lane", "fp"))
     if samples:
-        reached = verified(docs.select(F.col(text).alias("text")), distinct, sampled_edges(spread, distinct, lanes), width, lanes)
+        reached = checkpointed(verified(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), distinct, sampled_edges(spread, distinct, lanes), width, lanes))
     else:
         reached = components(lane_edges(spread, lanes))
-    reached = reached.select(F.col("node").alias("at"), "root")
-    grouped = distinct.join(reached, distinct.node == reached["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = grouped.select("node", "root").join(lowest, "root").select("node", "component_id")
-    return prints.withColumn("node", node()).join(members, "node").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
+    # Only linked nodes ask for the smallest id of their component; of the others each is its own.
+    own = distinct.select("node", "first", "n")
+    linked_ = checkpointed(own.join(reached, "node"))
+    lowest = checkpointed(linked_.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m")))
+    named = hot_joined(linked_, lowest, "root", "m", linked_.count()).select("node", "n", "component_id")
+    alone = own.join(linked_.select("node"), "node", "left_anti").select("node", "n", F.col("first").alias("component_id"))
+    members = checkpointed(named.unionByName(alone))
+    found = hot_joined(prints.select("doc_id", "fps", node().alias("node")), members, "node", "n", prints.count())
+    return found.select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
 def lane_edges(spread: DataFrame, lanes: int) -> DataFrame:
@@ -351,8 +357,11 @@ def verified(docs: DataFrame, distinct: DataFrame, proposed: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
     parts = components(proposed).select("node", F.col("root").alias("part"))
-    wanted = parts.join(distinct.select("node", "text_key", F.slice("fps", 1, lanes).alias("prints")), "node")
-    rows = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["text_key"])
+    key = F.xxhash64("rep.doc_id", "rep.text_key").alias("rep_key")
+    wanted = parts.join(distinct.select("node", key, F.slice("fps", 1, lanes).alias("prints")), "node")
+    # One text of a node, by its id and hash, so that copies of a text don't meet; repeated rows may.
+    hashed = docs.select(F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("rep_key"), "text")
+    rows = hashed.join(wanted, "rep_key").dropDuplicates(["rep_key"])
     rows = rows.select("part", "node", "prints", "text").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "node")
     return rows.mapInArrow(call, "node long, root long")
 
