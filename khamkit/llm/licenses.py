@@ -4,7 +4,8 @@ The automaton holds every run of words of every template. A text is streamed
 through it once: after each word it stands at the longest run that ends there
 and occurs in some template. Long maximal runs are chained, template by
 template, while they advance in both the text and the template; a chain is a
-span of the text with the share of the template's words it covers.
+span of the text with the share of the template's words it covers. Of spans
+that overlap the one that covers most words of its template stays.
 
 The automaton is built from a fixed template list, so what is sent to the
 executors doesn't grow with the input, and every row is scanned on its own.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +30,22 @@ PHRASES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
-#: Passages of public licenses, and their labels.
-TEMPLATES = (
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("under the terms of the gnu lesser general public license", "lgpl"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under a creative commons attribution sharealike", "cc-by-sa"),
-    ("licensed under a creative commons attribution noncommercial", "cc-by-nc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", "reserved"),
-)
-#: The least run that is chained, the most words skipped between runs, the least share of a template that makes a span.
+#: The texts that come with the library: label and text a line.
+TEXTS = Path(__file__).with_name("license_texts.tsv")
+#: The least run that is chained, the most words skipped between runs, and the least share of a template that makes a span.
 LEAST, GAP, SHARE = 3, 6, 0.6
+#: The words that a span covers at least (a template that is shorter must be there whole), and how many always do.
+COVERED, DECISIVE = 8, 30
 #: Letters and digits of ASCII and every byte beyond it stay (upper case lowered), all else parts words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def license_texts(path: Path = TEXTS) -> tuple[tuple[str, str], ...]:
+    """(words, label) of the lines of a list; lines that begin with # don't count."""
+    lines = [x.split("\t") for x in path.read_text(encoding="utf-8").splitlines() if x and not x.startswith("#")]
+    return tuple((b" ".join(text.encode().translate(FOLD).split()).decode(), label) for label, text in lines)
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton of word sequences (ids from 0)."""
 
@@ -116,8 +109,8 @@ class SuffixAutomaton:
 class Scanner:
     """Phrases and templates compiled for streaming."""
 
-    def __init__(self, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> None:
-        every = [*phrases, *templates]
+    def __init__(self, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] | None = None) -> None:
+        every = [*phrases, *(license_texts() if templates is None else templates)]
         words = [p.encode().split() for p, _ in every]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         self.sequences = [[self.vocabulary[w] for w in ws] for ws in words]
@@ -160,9 +153,9 @@ class Scanner:
         spans: list[tuple[int, int, int, float]] = []
 
         def close(k: int, chain: list[int]) -> None:
-            share = chain[3] / len(self.sequences[k])
-            if share >= SHARE:
-                spans.append((k, chain[0], chain[1], share))
+            n = len(self.sequences[k])
+            if chain[3] >= max(min(SHARE * n, DECISIVE), min(n, COVERED)):
+                spans.append((k, chain[0], chain[1], min(1.0, chain[3] / n)))
 
         for state, start, length in runs:
             by_template: dict[int, list[int]] = {}
@@ -187,7 +180,19 @@ class Scanner:
         for k, chains in open_at.items():
             for chain in chains:
                 close(k, chain)
-        return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+        return self.foremost(spans)
+
+    def foremost(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Spans in order, without those half of whose words lie in a span that covers more of its template.
+
+        Licenses share sentences; of the templates that a passage covers the one
+        with the most words there counts, of equal ones the one it covers best.
+        """
+        kept: list[tuple[int, int, int, float]] = []
+        for s in sorted(spans, key=lambda s: (-round(s[3] * len(self.sequences[s[0]])), -s[3], s[1], s[0])):
+            if all(2 * (min(s[2], t[2]) - max(s[1], t[1])) <= s[2] - s[1] for t in kept):
+                kept.append(s)
+        return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
 
 
 def scanned(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
