@@ -1,9 +1,9 @@
 """Toxicity by the votes of the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents. A text's features are its
-words and word beginnings; those that tell the classes of the sample apart are
-kept, weighted by term frequency and by inverse document frequency over all
-documents, and scaled to length one. The nearest examples by cosine are found
+words and word beginnings; all that tell the classes of the sample apart are
+kept (by chi-square, with no limit on their number), weighted by term frequency
+and by inverse document frequency over all documents, and scaled to length one. The nearest examples by cosine are found
 exactly in an inverted index whose postings are cut into blocks of examples
 with the largest weight of each: blocks are visited by the bound this puts on
 their cosines, until no block left can hold a nearer example.
@@ -12,8 +12,9 @@ Votes weigh by similarity and by how far the example's class is thinned out in
 the sample, and lean on the class shares, so a score estimates how often such
 texts are toxic. The nearest examples are the evidence.
 
-Fixed by parameters: examples of a class, features, neighbours. Document
-frequencies come from all documents, and every document is scored.
+Fixed by parameters: examples of a class, the least chi-square, neighbours; a
+least chi-square of 0 keeps every word of the sample. Document frequencies come
+from all documents, and every document is scored.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from khamkit.llm.common import map_batches, texts
+from khamkit.llm.common import checkpointed, map_batches, texts
 
-#: The most examples of each class, the most features, neighbours that vote, examples in a block.
-TOXIC, CLEAN, FEATURES, NEAREST, BLOCK = 2000, 4000, 4000, 15, 64
+#: The most examples of each class, neighbours that vote, examples in a block.
+TOXIC, CLEAN, NEAREST, BLOCK = 2000, 4000, 15, 64
 #: The least chi-square of a feature against the classes, and the least examples that have it.
 LEAST_CHI, LEAST_COUNT = 30.0, 4
 BEGINNINGS = (4, 5, 6)
 #: Tokens of more bytes are taken for several words without blanks.
 LONG = 40
+#: Cosines closer than this are equal.
+TIE = 1e-12
 #: The weight of the class shares beside the votes.
 LEAN = 0.25
 REMEMBERED = 400_000
@@ -99,7 +102,7 @@ class BlockMaxIndex:
         return index
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` examples with the largest cosines above 0, best first; ties go to the block visited first."""
+        """The ``k`` examples with the largest cosines above 0, best first; of equal ones the first examples."""
         known = [(f, x) for f, x in zip(at.tolist(), w.tolist(), strict=True) if f in self.postings]
         if not known:
             return []
@@ -109,16 +112,16 @@ class BlockMaxIndex:
             bound[blocks] += x * most
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] <= best[-1][0]):
+            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - TIE):
                 break
             cosines = np.zeros(BLOCK)
             for f, x in known:
                 found = self.postings[f].get(b)
                 if found is not None:
                     cosines[found[0]] += x * found[1]
-            floor = best[-1][0] if len(best) == k else 0.0
+            floor = best[-1][0] - TIE if len(best) == k else TIE
             for i in np.flatnonzero(cosines > floor).tolist():
-                best.append((float(cosines[i]), b * BLOCK + i))
+                best.append((round(float(cosines[i]), 12), b * BLOCK + i))
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
@@ -152,7 +155,8 @@ def examples(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, doc_id:
     """(doc_id, label, text) of at most so many labelled documents of each class, and how many there are of each.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are seen. Which ones
-    is settled by a hash, so reruns agree.
+    is settled by a hash, so reruns agree. An id that documents repeat gives one
+    example, its first text by hash.
     """
     rows = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string")) % 5 != 0))
     rows = rows.groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
@@ -162,13 +166,20 @@ def examples(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, doc_id:
     sample = chosen[0].union(chosen[1]).select(F.col(doc_id).alias("example"), "label")
     # At most ``toxic + clean`` rows, so the broadcast is bounded.
     found = docs.select(doc_id, text).join(F.broadcast(sample), F.col(doc_id) == F.col("example"))
-    return found.select("example", "label", F.col(text).alias("text")), have
+    found = found.groupBy("example", "label").agg(F.min_by(F.coalesce(text, F.lit("")), F.xxhash64(F.coalesce(text, F.lit("")))).alias("text"))
+    return found, have
 
 
-def fitted(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """The model; with no labels at all it scores every text 0."""
+def fitted(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", least_chi: float = LEAST_CHI, least_count: int = LEAST_COUNT) -> Model:
+    """The model; with labels of one class or none it scores every text alike, 1 or 0.
+
+    What is collected is bounded by the sample: its features and vectors.
+    Labels that are null or neither 0 nor 1 don't count; of labels that differ
+    for one id the larger does.
+    """
     spark = docs.sparkSession
     sample, have = examples(docs, labels, toxic, clean, doc_id, text, label)
+    sample = checkpointed(sample)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +195,8 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     seen = map_batches(sample, ["label", "text"], spread, "feature binary, label int").groupBy("feature").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), n[1] - F.col("a"), n[0] - F.col("b")
     chi = total * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d + 1e-9) * float(n[1]) * float(n[0]))
-    best = seen.where(a + b >= LEAST_COUNT).select("feature", chi.cast("double").alias("chi")).where(F.col("chi") >= LEAST_CHI)
-    kept = [bytes(r["feature"]) for r in best.orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()]
+    best = seen.where(a + b >= least_count).select("feature", chi.cast("double").alias("chi")).where(F.col("chi") >= least_chi)
+    kept = sorted(bytes(r["feature"]) for r in best.select("feature").collect())
     numbers = {f: i for i, f in enumerate(kept)}
     shared = spark.sparkContext.broadcast(numbers)
 
