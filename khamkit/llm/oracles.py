@@ -38,10 +38,14 @@ QUALITY = rf"""
     t AS (SELECT doc_id, gram FROM x GROUP BY doc_id, gram HAVING count(*) > 1),
     c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT x.doc_id, unnest(range(p, p + 3)) AS i FROM x JOIN t ON x.doc_id = t.doc_id AND x.gram = t.gram) GROUP BY doc_id),
     q AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                 length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS n_letters, len(list_distinct(w)) AS n_different,
+                 len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[\x{{2022}}\x{{2023}}\x{{25E6}}*+-][ \t]'))) AS n_bulleted, len(list_filter(lines, lambda x: regexp_matches(x, '(?:\.\.\.|\x{{2026}})[ \t\r]*$'))) AS n_broken,
                  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT (base_failed OR 10 * n_symbols > 3 * greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) OR 10 * word_chars < 20 * greatest(n_words, 1)
-                OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)) AS kept FROM b"""
+                OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+                OR 100 * n_letters < 40 * word_chars OR (n_words >= 200 AND 50 * n_different < n_words)
+                OR (n_lines >= 5 AND 10 * n_bulleted > 9 * n_lines) OR (n_lines >= 5 AND 10 * n_broken > 5 * n_lines)) AS kept FROM b"""
 
 ORACLE = {"op1_substring": SUBSTRING, "op7_urls": URLS, "op10_quality": QUALITY}

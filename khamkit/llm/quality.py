@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, native expressions only.
 
 Base counts are columns of every document. The further rules of the cascade
-decide only whether a document is kept: their cost and selectivity are
-estimated on a sample, and they are tried in the order of rejections per cost.
-The order never changes a verdict, only how soon it falls.
+decide only whether a document is kept. Some compare base counts; others work
+out counts of their own, over the whole text, and do so only for documents that
+no rule before them has rejected. Their cost and selectivity are estimated on
+a random sample, and they are tried in the order of rejections per cost. The
+order never changes a verdict, only how soon it falls.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from khamkit.llm.common import BLANKS, WORD
 
@@ -22,7 +25,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a boolean column over the counts; ``fixed_cost`` replaces the timed cost."""
+    """``rejects`` is a boolean column over the counts and ``text``; ``fixed_cost`` replaces the timed cost."""
 
     name: str
     rejects: Column
@@ -79,14 +82,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def default_rules() -> list[Rule]:
-    """Thresholds are far from prose: they name junk, not style."""
+def default_rules(text: str = "text") -> list[Rule]:
+    """Thresholds are far from prose: they name junk, not style. The last four read the text anew, each for itself."""
     words = F.greatest(F.col("n_words"), F.lit(1))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    letters = F.length(F.regexp_replace(whole, r"[^\p{L}\p{M}]+", ""))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * words),
         Rule("long_words", F.col("word_chars") > 15 * words),
         Rule("short_words", 10 * F.col("word_chars") < 20 * words),
         Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
+        Rule("few_letters", 100 * letters < 40 * F.col("word_chars")),
+        Rule("few_different_words", (F.col("n_words") >= 200) & (50 * F.size(F.array_distinct(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)))) < F.col("n_words"))),
+        Rule("bulleted_lines", (F.col("n_lines") >= 5) & (10 * F.regexp_count(whole, F.lit(r"(?md)^[ \t]*[\x{2022}\x{2023}\x{25E6}*+-][ \t]")) > 9 * lines)),
+        Rule("broken_off_lines", (F.col("n_lines") >= 5) & (10 * F.regexp_count(whole, F.lit(r"(?md)(?:\.\.\.|\x{2026})[ \t\r]*$")) > 5 * lines)),
     ]
 
 
@@ -94,19 +104,28 @@ def ordered(rules: list[Rule], counted: DataFrame) -> list[Rule]:
     """``rules`` by estimated rejections per cost, best first.
 
     Selectivity is the share of the sample a rule rejects; cost is its fixed
-    cost, or the seconds a pass over the sample takes. ``counted`` must be a
-    bounded sample; an empty one keeps the given order.
+    cost, or what a pass over the sample takes longer than one without rules, the
+    quicker of two. ``counted`` must be a bounded sample; an empty one keeps the
+    given order.
     """
     sample = counted.collect()
     if not sample:
         return rules
     rows = counted.sparkSession.createDataFrame(sample, counted.schema)
-    rows.agg(F.count(F.lit(1))).collect()
+
+    def timed(hit: Column) -> tuple[float, int]:
+        runs = []
+        for _ in range(2):
+            began = time.perf_counter()
+            n = rows.agg(F.count_if(hit).alias("n")).first()["n"]
+            runs.append(time.perf_counter() - began)
+        return min(runs), n
+
+    bare, _ = timed(F.col("n_words") < 0)
     rank = []
     for k, rule in enumerate(rules):
-        began = time.perf_counter()
-        hit = rows.agg(F.count_if(rule.rejects).alias("n")).first()["n"]
-        cost = rule.fixed_cost or max(time.perf_counter() - began, 1e-6)
+        seconds, hit = timed(rule.rejects)
+        cost = rule.fixed_cost or max(seconds - bare, bare / 100)
         rank.append((-(hit / len(sample)) / cost, k, rule))
     return [rule for _, _, rule in sorted(rank, key=lambda x: x[:2])]
 
@@ -126,12 +145,14 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     Nulls in ``text`` count as empty texts, which fail the base rule. Other
     columns pass through; columns named like the counts are replaced. Repeated
     rows are judged each on its own; an empty table gives an empty result. The
-    sample (at most ``sample_rows`` rows) serves the order of the rules alone.
+    sample (about ``sample_rows`` rows of the whole table, twice as many at most)
+    serves the order of the rules alone.
     """
-    rules = default_rules() if rules is None else rules
-    docs = docs.drop(*(c for c in docs.columns if c in (*COUNTS, "base_failed", "kept")))
+    rules = default_rules(text) if rules is None else rules
+    docs = docs.drop(*(c for c in docs.columns if c in (*COUNTS, "base_failed", "kept") and c != text))
+    share = min(1.0, sample_rows / max(1, docs.count()))
     # Collected as it is: a limit below further operators would be run by every task.
-    few = docs.select(F.col(text).cast("string").alias("text")).limit(sample_rows).collect()
-    order = ordered(rules, counts(docs.sparkSession.createDataFrame(few, "text string")).drop("text"))
+    few = docs.select(F.col(text).cast("string").alias(text)).sample(share, seed=10).limit(2 * sample_rows).collect()
+    order = ordered(rules, counts(docs.sparkSession.createDataFrame(few, StructType([StructField(text, StringType())])), text))
     counted = counts(docs, text).withColumn("base_failed", base_failed())
     return counted.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order)))
