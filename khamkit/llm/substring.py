@@ -12,7 +12,7 @@ sorted list of its cells, and of the merged one a bit for each cell: "two or
 more". A second, small sketch counts windows for their size alone.
 
 Second pass: only windows estimated to be in two documents or more are
-shuffled, under a 96-bit hash of their words, and grouped exactly in sorted
+shuffled, under a 128-bit hash of their words, and grouped exactly in sorted
 streams. Windows whose estimate is large are salted by document: each salt
 finds the smallest id it has seen, and the few rows at those are compared in a
 second small shuffle. Nothing is lost: a sketch too small for its input only
@@ -177,13 +177,13 @@ def candidates(sketch: object, width: int, shift: int, tagged: bool) -> Callable
                 h1 = windows.first[may]
                 hot = heavy[(h1 >> np.uint64(50)).astype(np.int64)] >= least
                 first.append(h1)
-                second.append((windows.second[may] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                second.append(windows.second[may])
                 salt.append(np.where(hot, 1 + xxhash.xxh3_64_intdigest(str(doc_id).encode()) % SALTS, 0))
                 ids.append(np.full(len(may), doc_id, dtype=np.int64))
                 place.append(may + tag(text, tagged))
             if first:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(t, copy=False).view(v)) for x, t, v in ((first, np.uint64, np.int64), (second, np.int32, np.int32), (salt, np.int16, np.int16), (ids, np.int64, np.int64), (place, np.int64, np.int64))],
+                    [pa.array(np.concatenate(x).astype(t, copy=False).view(v)) for x, t, v in ((first, np.uint64, np.int64), (second, np.uint64, np.int64), (salt, np.int16, np.int16), (ids, np.int64, np.int64), (place, np.int64, np.int64))],
                     names=["h1", "h2", "salt", "doc_id", "place"],
                 )
 
@@ -219,7 +219,7 @@ def tag(text: bytes, tagged: bool) -> int:
     return zlib.crc32(text) >> 1 << 32 if tagged else 0
 
 
-def cut(width: int, tagged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -228,7 +228,6 @@ def cut(width: int, tagged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 if places.is_valid:
                     at = np.asarray(places.values)
-                    at = at[at >> 32 == tag(text, tagged) >> 32] & 0xFFFFFFFF
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + width, -1)
                 left = np.cumsum(gone[:-1]) == 0
@@ -269,30 +268,42 @@ def merged_sketch(docs: DataFrame, width: int, text: str) -> tuple[list[bytes],
 def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words left, joined by one space).
 
-    Null text has no words and stays null. A document without id keeps all and
-    takes nothing from others. Rows with the same id never cut one another;
+    Ids are integers. Null text has no words and stays null. A document without
+    id keeps all and takes nothing from others. Rows with the same id never cut one another;
     each is cut by smaller ids alone. Other columns pass through, those named
     like the results are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     made = {"n_words", "n_removed", "kept_text"}
+    if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} must be an integer")
     rest = [c for c in docs.columns if c not in {doc_id, text, *made}]
     bits, heavy, least, shift = merged_sketch(docs, width, text)
     sketch = spark.sparkContext.broadcast((bits, heavy, least))
     tagged = not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    schema = "h1 long, h2 int, salt short, doc_id long, place long"
+    schema = "h1 long, h2 long, salt short, doc_id long, place long"
     rows = map_batches(docs, [doc_id, text], candidates(sketch, width, shift, tagged), schema)
     dealt = rows.repartition(n, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id")
-    found = dealt.mapInArrow(later_windows, "h1 long, h2 int, doc_id long, place long, settled boolean")
+    found = dealt.mapInArrow(later_windows, "h1 long, h2 long, doc_id long, place long, settled boolean")
     gone = found.where("settled").select("doc_id", "place")
     if (heavy >= least).any():
         ends = found.where(~F.col("settled"))
         lows = ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
         late = ends.join(lows, ["h1", "h2"]).where("doc_id > low")
         gone = gone.union(late.select("doc_id", "place"))
-    gone = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list("place").alias("__gone"))
+    # The places of one text: rows of an id with other texts have lists of their own.
+    part = F.shiftright(F.col("place"), 32).alias("gone_tag")
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), part).agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("gone"))
     kinds = dict(docs.dtypes)
-    joined = docs.join(gone, docs[doc_id] == gone["__gone_id"], "left").select(F.col(text), "__gone", F.col(doc_id), *rest)
-    out = joined.mapInArrow(cut(width, tagged), f"n_words long, n_removed long, kept_text string, `{text}` string, `{doc_id}` {kinds[doc_id]}" + "".join(f", `{c}` {kinds[c]}" for c in rest))
-    return out.select(*[c for c in docs.columns if c not in made], "n_words", "n_removed", "kept_text")
+    held = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    own = F.shiftright(F.crc32(F.coalesce(F.col(text), F.lit(""))), 1) if tagged else F.lit(0)
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"), *held, own.cast("long").alias("tag"))
+    columns = ["text", "gone", "id", *(f"c{i}" for i in range(len(rest)))]
+    joined = rows.where("id IS NOT NULL").join(gone, (F.col("id") == F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left").select(columns)
+    # Rows without id lose nothing and would all meet in one task.
+    joined = joined.unionByName(rows.where("id IS NULL").withColumn("gone", F.lit(None).cast("array<long>")).select(columns))
+    schema = f"n_words long, n_removed long, kept_text string, text string, id {kinds[doc_id]}" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(rest))
+    cut_rows = joined.mapInArrow(cut(width), schema)
+    back = {doc_id: F.col("id"), text: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
+    return cut_rows.select(*[back[c].alias(c) for c in docs.columns if c not in made], "n_words", "n_removed", "kept_text")
