@@ -11,7 +11,7 @@ the budget.
 A source's order is dealt into buckets of some thousand rows by hash. Buckets
 are summed first, and only the small table of sums is accumulated, so the rows
 of a large source are spread over all tasks. The cut is found the same way:
-ranges of time are summed, and the range that crosses the budget is dealt into
+ranges of time (of turns, where times are equal) are summed, and the range that crosses the budget is dealt into
 finer ranges until few rows are left.
 """
 
@@ -81,13 +81,24 @@ def copy_finish(copy: int) -> Column:
 
 
 def last_taken(rows: DataFrame, budget: float, few: int = 5000) -> tuple[float, int] | None:
-    """The last (finish, turn) up to which ``size`` sums to ``budget`` or less; None if even the first row is too much."""
+    """The last (finish, turn) up to which ``size`` sums to ``budget`` or less; None if even the first row is too much.
+
+    Rows of one finish time are dealt by turn. Rows alike in both are taken or
+    left together: they are copies, for turn is a hash of id and text.
+    """
     last: tuple[float, int] | None = None
-    low, high, n = rows.agg(F.min("finish"), F.max("finish"), F.count(F.lit(1))).first()
-    while n > few and high > low:
-        part = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit((high - low) / RANGES)), F.lit(RANGES - 1)).cast("int")
+    while True:
+        ends = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("finish", "turn") for f in (F.min, F.max)], F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
+        by = "finish" if ends["n"] and ends["max_finish"] > ends["min_finish"] else "turn"
+        low, high = ends[f"min_{by}"], ends[f"max_{by}"]
+        if ends["n"] <= few or high == low:
+            break
+        width = (float(high) - float(low)) / RANGES
+        if not width:
+            break
+        part = F.least(F.floor((F.col(by).cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(RANGES - 1)).cast("int")
         rows = rows.withColumn("part", part)
-        sums = rows.groupBy("part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high"), F.max(F.struct("finish", "turn")).alias("last"))
+        sums = rows.groupBy("part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max(F.struct("finish", "turn")).alias("last"))
         for r in sorted(sums.collect(), key=lambda r: r["part"]):
             if r["words"] > budget:
                 break
@@ -95,9 +106,15 @@ def last_taken(rows: DataFrame, budget: float, few: int = 5000) -> tuple[float,
             last = (r["last"]["finish"], r["last"]["turn"])
         else:
             return last
-        rows = rows.where(F.col("part") == r["part"]).drop("part")
-        low, high, n = r["low"], r["high"], r["n"]
-    upto = rows.withColumn("upto", F.sum("size").over(Window.orderBy("finish", "turn")))
+        crossing = rows.where(F.col("part") == r["part"]).drop("part")
+        if r["n"] == ends["n"] and by == "turn":
+            # Doubles part the longs no further; what is left is a few values.
+            rows = crossing
+            break
+        rows = crossing
+    # One row for each place in the order, so that copies are one.
+    places = rows.groupBy("finish", "turn").agg(F.sum("size").alias("size"))
+    upto = places.withColumn("upto", F.sum("size").over(Window.orderBy("finish", "turn")))
     found = upto.where(F.col("upto") <= budget).agg(F.max(F.struct("finish", "turn")).alias("last")).first()["last"]
     return (found["finish"], found["turn"]) if found else last
 

@@ -178,49 +178,84 @@ def likeness_to_next(docs: DataFrame, width: int = WIDTH, k: int = K, doc_id: st
     Null ids come last, rows of one id by a hash of their texts. Null text is
     empty. Every row gives a row; an empty table gives none.
 
-    Rows are dealt once, into ranges of ids of about equal counts. The first
-    row of each range also goes to the range before it as a guest, for the last
-    row there. What the driver holds is one id and hash for each range.
+    Rows are dealt once, into ranges of (id, hash of the text) of about equal
+    counts, so neither null ids nor many rows of one id meet in one task unless
+    their texts are equal too. The first row of each range also goes to the range
+    before it as a guest, for the last row there. What the driver holds is some
+    ``SAMPLE`` ids and hashes for each range. Ids must be integers.
     """
+    if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} must be an integer")
     spark = docs.sparkSession
-    n = max(1, partitions(spark))
-    marks = docs.approxQuantile(doc_id, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    marks = sorted({int(m) for m in marks})
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    slim = rows.select("doc_id", "tie", ranges(spark.sparkContext.broadcast(np.array(marks, dtype=np.int64)))("doc_id").alias("part"))
-    heads = sorted(slim.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect(), key=lambda r: r["part"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("tie"))
+    marks = spark.sparkContext.broadcast(range_marks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), max(1, partitions(spark))))
+    slim = rows.select("doc_id", "tie", ranges(marks)("doc_id", "tie").alias("part"))
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("head")
+    heads = sorted(slim.groupBy("part").agg(first).collect(), key=lambda r: r["part"])
     guests = {(h["head"]["doc_id"], h["head"]["tie"]): heads[(i + 1) % len(heads)]["part"] for i, h in enumerate(heads)}
-    to = places(spark.sparkContext.broadcast((np.array(marks, dtype=np.int64), guests)))("doc_id", "tie")
+    to = places(marks, spark.sparkContext.broadcast(guests))("doc_id", "tie")
+    # A row of its own for the guest; of equal rows at a range's start one is enough.
     dealt = rows.select("doc_id", "text", "tie", F.explode(to).alias("to")).select("doc_id", "text", "tie", "to.part", "to.guest")
-    dealt = dealt.repartitionById(len(marks) + 2, F.col("part")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    dealt = dealt.repartitionById(len(marks.value[0]) + 1, F.col("part")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double"
     return dealt.select("doc_id", "text", "guest").mapInArrow(likeness(width, k), schema)
 
 
-def numbered(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
-    """0 for null, else 1 and the number of marks at or below the id."""
-    known = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-    return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(marks, known, side="right")).astype(np.int32)
+#: Sampled rows for each range.
+SAMPLE = 40
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def range_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and hashes that part the rows (doc_id, tie) into ``n`` ranges of about equal counts, ascending; null ids first."""
+    count = docs.count()
+    if n < 2 or not count:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    sampled = docs.sample(min(1.0, SAMPLE * n / count), seed=6).select("doc_id", text_hash("text").alias("tie")).collect()
+    found = sorted(((r["doc_id"] if r["doc_id"] is not None else LEAST_ID, r["tie"]) for r in sampled))
+    marks = sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+    return np.array([m[0] for m in marks], dtype=np.int64), np.array([m[1] for m in marks], dtype=np.int64)
+
+
+#: Null ids stand below all others.
+LEAST_ID = -(1 << 63)
+
+
+def numbered(ids: pa.Array, ties: pa.Array, marks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of marks at or below (id, tie)."""
+    own = ids.cast(pa.int64()).fill_null(LEAST_ID).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(marks[0], own, side="left"), np.searchsorted(marks[0], own, side="right")
+    out = high.copy()
+    # Only an id that is a mark itself asks for the hash.
+    hashes = ties.to_numpy(zero_copy_only=False)
+    for at in np.unique(low[low < high]).tolist():
+        here = np.flatnonzero((low == at) & (low < high))
+        stop = int(high[here[0]])
+        out[here] = at + np.searchsorted(marks[1][at:stop], hashes[here], side="right")
+    return out.astype(np.int32)
 
 
 def ranges(marks: object) -> Callable[..., Column]:
     @F.arrow_udf("int")
-    def part(ids: pa.Array) -> pa.Array:
-        return pa.array(numbered(ids, marks.value))
+    def part(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(numbered(ids, ties, marks.value))
 
     return part
 
 
-def places(known: object) -> Callable[..., Column]:
+def places(marks: object, known: object) -> Callable[..., Column]:
     """Where a row goes: its own range, and as a guest the range that it stands at the end of."""
     kind = pa.list_(pa.struct([("part", pa.int32()), ("guest", pa.bool_())]))
 
     @F.arrow_udf("array<struct<part: int, guest: boolean>>")
     def to(ids: pa.Array, ties: pa.Array) -> pa.Array:
-        marks, guests = known.value
+        guests = known.value
         out = []
-        for key, part in zip(zip(ids.to_pylist(), ties.to_pylist(), strict=True), numbered(ids, marks).tolist(), strict=True):
+        for key, part in zip(zip(ids.to_pylist(), ties.to_pylist(), strict=True), numbered(ids, ties, marks.value).tolist(), strict=True):
             own = [{"part": part, "guest": False}]
             if key in guests:
                 own.append({"part": guests[key], "guest": True})
