@@ -14,8 +14,10 @@ at their ends; a run leaves few of them with much room.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,11 @@ class WordIds(dict):
     text are those of its words in order.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(data.decode())
         self.plain = self.letters_apart()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -91,11 +93,11 @@ class WordIds(dict):
 _WORD_IDS: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One per worker process, kept from task to task."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+def word_ids(key: str, data: Callable[[], bytes]) -> WordIds:
+    """One of each tokenizer per worker process, kept from task to task."""
+    if key not in _WORD_IDS:
+        _WORD_IDS[key] = WordIds(data())
+    return _WORD_IDS[key]
 
 
 class Rooms:
@@ -148,9 +150,9 @@ def best_fit(lengths: list[int], window: int, first: int) -> tuple[list[int], li
     return sequence, offset, first
 
 
-def packer(path: str, window: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(tokenizer: object, key: str, window: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
+        ids_of = word_ids(key, lambda: tokenizer.value)
         tail = np.array([end], dtype="<u4").tobytes()
         step = 4 * window
         context = TaskContext.get()
@@ -197,11 +199,13 @@ def packer(path: str, window: int, end: int) -> Callable[[Iterator[pa.RecordBatc
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the path of a tokenizers file that every worker can open.
+    ``tokenizer`` is the path of a tokenizers file; the driver reads it and sends it to the workers.
     Null text is empty: its document is the end id alone. Repeated rows are
     packed each. Sequence ids are unique, not gapless; pieces of a sequence lie
     at offsets without gaps from 0. An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return map_batches(docs, [doc_id, text], packer(tokenizer, window, end), schema)
+    data = Path(tokenizer).read_bytes()
+    shared = docs.sparkSession.sparkContext.broadcast(data)
+    return map_batches(docs, [doc_id, text], packer(shared, hashlib.sha256(data).hexdigest(), window, end), schema)
