@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -20,18 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the cluster's spark.checkpoint.dir, or what the session has set.
 
-    The folder is the cluster's spark.checkpoint.dir. Only where a session
-    names none (tests, a laptop) is a temporary one set.
+    Only a local master, where all are one machine, may have none and gets a
+    temporary one; anywhere else that would be a folder of its own on each
+    machine, so it raises.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="khamkit-"))
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="khamkit-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Tables in a folder of their own in the shared folder, for loops.
+
+    Read again, a table has the size of its files; what checkpoint() gives back
+    keeps the estimate of its plan, and the products of joins that a loop piles
+    up make such estimates too long to multiply.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def held(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

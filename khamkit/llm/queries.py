@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from khamkit.llm import licenses, oracles, sketches, toxicity, urls, wrappers
 from khamkit.llm.common import table
 from khamkit.llm.mixing import Mixture
@@ -67,7 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "by_wrapper")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_html": op9_html,
         "op10_quality": op10_quality,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,4 +1,4 @@
-"""The pipeline against the same stages in plain Python, and its queries."""
+"""What the pipeline's stages must leave and take, and the corpus queries against their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from samples import clashed
 
+import __spark_entry__
 import corpus_pipeline as pipeline
 from khamkit.llm import queries
 
@@ -34,7 +35,16 @@ def test_stages(spark, docs, rows, tmp_path):
     assert set(cut) <= set(near) and all(r["n_chars"] == len(r["text"]) for r in cut.values())
     sent = kept["mixing"]
     assert {r["doc_id"] for r in sent} <= set(cut) and len(sent) >= len(cut)
-    assert sum(r["length"] for r in kept["packing"] if r["start"] == 0 or True) > 0
+    windows = {}
+    for r in kept["packing"]:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(r["length"] for r in kept["packing"] if r["start"] == 0) + sum(r["length"] for r in kept["packing"] if r["start"]) == sum({r["doc_id"]: r["doc_tokens"] for r in kept["packing"]}[d["doc_id"]] for d in sent)
     ends = [np.frombuffer(bytes(r["ids"]), "<u4")[-1] for r in kept["packing"] if r["start"] + r["length"] == r["doc_tokens"]]
     assert len(ends) == len(sent) and set(ends) == {1}
 
@@ -61,9 +71,9 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", list(queries.queries()))
+@pytest.mark.parametrize("name", [*queries.queries(), "pipeline"])
 def test_queries(spark, name):
-    df = queries.queries()[name](spark, DATA)
+    df = __spark_entry__.queries()[name](spark, DATA)
     rows = df.collect()
     assert rows
     if name in queries.oracle_sql():
