@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,22 +96,27 @@ def bahttext_str(text: Column | str) -> Column:
 def validate_id(text: Column | str) -> Column:
     """struct<is_valid, id, formatted, error> of a national identity number; all but ASCII digits is skipped."""
     t = F.col(text) if isinstance(text, str) else text
-    digits = F.regexp_replace(t, "[^0-9]", "")
-    at = lambda k: F.substring(digits, k + 1, 1).try_cast("int")
-    total = F.lit(0)
-    for k in range(12):
-        total = total + at(k) * (13 - k)
-    check = (11 - total % 11) % 10
-    right_length = F.length(digits) == 13
-    formatted = F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 1), (2, 4), (6, 5), (11, 2), (13, 1))])
-    valid = right_length & (check == at(12))
-    error = F.when(~right_length, F.concat(F.lit("Invalid length: expected 13 digits, found "), F.length(digits).cast("string"))).when(~valid, F.concat(F.lit("Invalid checksum: expected check digit "), check.cast("string"), F.lit(", got "), at(12).cast("string")))
-    return F.when(
-        t.isNotNull(),
-        F.struct(
-            F.coalesce(valid, F.lit(False)).alias("is_valid"),
-            F.when(right_length, digits).otherwise(t).alias("id"),
-            F.when(right_length, formatted).alias("formatted"),
-            error.alias("error"),
-        ),
-    )
+
+    def read(digits: Column) -> Column:
+        # As one whole number, so that each digit is a division; null if there are not thirteen.
+        return F.struct(digits.alias("digits"), F.when(F.length(digits) == 13, digits).try_cast("long").alias("number"))
+
+    def summed(r: Column) -> Column:
+        digit = lambda k: F.call_function("div", r["number"], F.lit(10 ** (12 - k)).cast("long")) % 10
+        total = reduce(lambda a, b: a + b, (digit(k) * (13 - k) for k in range(12)))
+        return F.struct(r["digits"].alias("digits"), ((11 - total % 11) % 10).alias("check"), digit(12).alias("last"))
+
+    def told(r: Column) -> Column:
+        digits, check, last = r["digits"], r["check"], r["last"]
+        formatted = F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 1), (2, 4), (6, 5), (11, 2), (13, 1))])
+        length = F.concat(F.lit("Invalid length: expected 13 digits, found "), F.length(digits).cast("string"))
+        checksum = F.concat(F.lit("Invalid checksum: expected check digit "), check.cast("string"), F.lit(", got "), last.cast("string"))
+        return F.struct(
+            F.coalesce(check == last, F.lit(False)).alias("is_valid"),
+            F.when(check.isNotNull(), digits).otherwise(t).alias("id"),
+            F.when(check.isNotNull(), formatted).alias("formatted"),
+            F.when(check.isNull(), length).when(check != last, checksum).alias("error"),
+        )
+
+    judged = bound(bound(bound(F.regexp_replace(t, "[^0-9]", ""), read), summed), told)
+    return F.when(t.isNotNull(), judged)

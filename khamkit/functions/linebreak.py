@@ -107,6 +107,9 @@ KINDS = [(c, ea, xp, name) for c in sorted({*CLASSES, "SM", "QI", "QF"} - {*RESO
 SYMBOL = {kind: chr(0x4E00 + i) for i, kind in enumerate(KINDS)}
 
 
+BLANK = SYMBOL["SP", "", "", ""]
+
+
 def symbols(test: Callable[[str, str, str, str], bool]) -> str:
     """A pattern of one unit whose kind passes."""
     return "[" + "".join(s for kind, s in SYMBOL.items() if test(*kind)) + "]"
@@ -217,7 +220,8 @@ class Rules:
         self.listed = listed
         #: Inside runs of these no line breaks; the scripts without blanks are not among them.
         plain = symbols(lambda k, ea, xp, name: k in ("AL", "HL", "NU") and not name)
-        self.token = re.compile(f"{plain}+|.", re.DOTALL)
+        #: Between two such runs a single space is broken after, whatever stands around.
+        self.token = re.compile(f"{plain}+(?:{BLANK}{plain}+)*|.", re.DOTALL)
         self.seen: dict[tuple, int] = {}
 
     def action(self, line: str, k: int, joined: bool, words: bool) -> int:
@@ -297,22 +301,31 @@ def break_actions(text: str, table: LineTable, boundaries: list[bool] | None = N
     ``boundaries`` are the word boundaries; without them letters of the scripts
     without blanks are like any letters.
     """
+    return list(actions_of(text, table, boundaries))
+
+
+def actions_of(text: str, table: LineTable, boundaries: list[bool] | None) -> bytearray:
     n = len(text)
-    actions = [NO] * (n + 1)
+    actions = bytearray(n + 1)
     if not n:
         return actions
     actions[n] = MANDATORY
     engine, words = compiled(), boundaries is not None
     line, places, joined = units_of(text, table, words)
+    decide = engine.action
     for m in engine.token.finditer(line):
-        k = m.start()
-        if not k:
-            continue
-        at = k if places is None else places[k]
-        if line[k] in SA_SYMBOLS and line[k - 1] in SA_SYMBOLS and line[k] not in NEVER_FIRST and k - 1 not in joined:
-            actions[at] = ALLOWED if boundaries[at] else NO
-        else:
-            actions[at] = engine.action(line, k, k - 1 in joined, words)
+        k, stop = m.span()
+        if k:
+            at = k if places is None else places[k]
+            if line[k] in SA_SYMBOLS and line[k - 1] in SA_SYMBOLS and line[k] not in NEVER_FIRST and k - 1 not in joined:
+                actions[at] = ALLOWED if boundaries[at] else NO
+            else:
+                actions[at] = decide(line, k, k - 1 in joined, words)
+        if stop - k > 2:
+            k = line.find(BLANK, k, stop) + 1
+            while k:
+                actions[k if places is None else places[k]] = ALLOWED
+                k = line.find(BLANK, k, stop) + 1
     # Within a run of plain letters a joiner may end a unit too; the runs are unbroken either way.
     return actions
 
@@ -342,11 +355,16 @@ def segments(text: str, model: Model, table: LineTable) -> list[str]:
         return []
     boundaries = [False] * (len(text) + 1)
     # Without letters of the scripts without blanks nothing asks for the words.
-    for s in spans(text, model) if HAS_SA.search(text.translate(symbols_of(table))) else ():
+    for s in spans(text, model) if not text.isascii() and HAS_SA.search(text.translate(symbols_of(table))) else ():
         boundaries[s.end] = True
-    actions = break_actions(text, table, boundaries)
-    cuts = [0, *(i for i in range(1, len(text)) if actions[i] == ALLOWED), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    actions = actions_of(text, table, boundaries)
+    out, last = [], 0
+    at = actions.find(ALLOWED, 1)
+    while at > 0:
+        out.append(text[last:at])
+        last = at
+        at = actions.find(ALLOWED, at + 1)
+    return [*out, text[last:]]
 
 
 def marked(text: str, model: Model, table: LineTable, marker: str) -> str:

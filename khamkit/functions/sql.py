@@ -24,8 +24,15 @@ def register(spark: SparkSession, functions: TextFunctions, prefix: str = "kham_
         "segments": ("array<string>", lambda t: linebreak.segments(t, line_model, table)),
         "normalize": ("string", lambda t: normalize.normalized(t)),
         "without_markup": ("string", markup.without_markup),
-        "display_width": ("int", linebreak.display_width),
     }
+    # What needs no Python is a SQL expression, which the optimizer puts in place of the call.
+    native = {
+        "display_width": ("INT", r"length(regexp_replace(t, '[\\x{0E31}\\x{0E34}-\\x{0E3A}\\x{0E47}-\\x{0E4E}\\x{200B}]', '')) + length(regexp_replace(t, '[^\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]', ''))"),
+        "without_zero_width": ("STRING", r"regexp_replace(t, '[\\x{200B}-\\x{200F}\\x{FEFF}]', '')"),
+        "is_markup": ("BOOLEAN", r"t RLIKE '<[a-zA-Z/!?][^>]*>'"),
+    }
+    for name, (kind, expression) in native.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS {kind} RETURN {expression}")
 
     def batched(function):
         def call(texts: pd.Series) -> pd.Series:
@@ -47,7 +54,7 @@ def register(spark: SparkSession, functions: TextFunctions, prefix: str = "kham_
                 yield k, s.start, s.end, text[s.start : s.end], s.unknown
 
     spark.udtf.register(f"{prefix}tokens", F.udtf(Tokens, returnType="pos: int, start: int, end: int, token: string, is_oov: boolean"))
-    return [prefix + n for n in (*plain, "wrap", "tokens")]
+    return [prefix + n for n in (*plain, *native, "wrap", "tokens")]
 
 
 def model_info(spark: SparkSession, functions: TextFunctions) -> DataFrame:

@@ -2,8 +2,8 @@
 
 One Arrow-batched function segments a text into spans; tokens, boundaries and
 joins follow from the spans by native expressions. Texts without Thai letters
-need no Python: ``*_fast`` table functions send only rows with Thai letters
-through it. Null in, null out, for every function.
+need no lattice: tokens and normalization of such rows are native, and Python
+sees a null for them. Null in, null out, for every function.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from khamkit.functions import clusters, linebreak, markup, normalize, segment
 from khamkit.functions.linebreak import LineTable, icu_table
 from khamkit.functions.segment import Bigrams, Lexicon, Model
-from khamkit.functions.tokens import plain_tokens
+from khamkit.functions.tokens import plain_tokens, plain_words
 
 THAI_LETTER = r"[฀-๿]"
 SPANS = "array<struct<start: int, end: int, token: string, is_oov: boolean>>"
-BLANK = r"^\p{IsWhite_Space}*$"
 UNITS: dict[str, Callable[[str], int]] = {"char": len, "byte": lambda t: len(t.encode()), "utf16": lambda t: len(t.encode("utf-16-le")) // 2}
 #: Limits of a service that takes texts from strangers.
-MOST_CHARS, MOST_MARKER = 500_000, 16
+MOST_CHARS, MOST_MARKER, MOST_ITEMS = 500_000, 16, 1_000
 
 
 def column(c: Column | str) -> Column:
@@ -55,6 +54,13 @@ def mapped(function: Callable, kind: str, *columns: Column | str) -> Column:
     return F.pandas_udf(wrapped, kind)(*map(column, columns))
 
 
+def by_script(text: Column | str, native: Column, thai: Callable[[Column], Column]) -> Column:
+    """``thai`` of texts with Thai letters, ``native`` of the others; the function behind ``thai`` is given null for those."""
+    c = column(text)
+    has = c.rlike(THAI_LETTER)
+    return F.when(has, thai(F.when(has, c))).otherwise(native)
+
+
 class TextFunctions:
     """Columns over one pair of lexicons: ``words`` for tokens, ``lines`` for line breaks (the same if not given)."""
 
@@ -84,10 +90,16 @@ class TextFunctions:
 
     def tokens(self, text: Column | str, keep_whitespace: bool = False) -> Column:
         model = self.model
-        return mapped(lambda t: segment.words(t, model, keep_whitespace), "array<string>", text)
+        native = plain_tokens(text, whole=True) if keep_whitespace else plain_words(text)
+        return by_script(text, native, lambda c: mapped(lambda t: segment.words(t, model, keep_whitespace), "array<string>", c))
 
     words = tokens
 
+    def lattice_tokens(self, text: Column | str) -> Column:
+        """Tokens by the lattice alone, also where it isn't needed; for tests and comparisons."""
+        model = self.model
+        return mapped(lambda t: [t[s.start : s.end] for s in segment.lattice_spans(t, model) if not segment.blank(t[s.start : s.end])], "array<string>", text)
+
     def join(self, text: Column | str, separator: str = "|") -> Column:
         return F.array_join(self.tokens(text), separator)
 
@@ -146,7 +158,9 @@ class TextFunctions:
 
     def normalize(self, text: Column | str, check_lexicon: bool = False, **steps: bool) -> Column:
         options, lexicon = normalize.Normalization(**steps), self.model.lexicon if check_lexicon else None
-        return mapped(lambda t: normalize.normalized(t, options, lexicon), "string", text)
+        # Without Thai letters only characters without width can change.
+        native = F.translate(text, normalize.ZERO_WIDTH, "") if options.remove_zero_width else column(text)
+        return by_script(text, native, lambda c: mapped(lambda t: normalize.normalized(t, options, lexicon), "string", c))
 
     def prefixes(self, text: Column | str, start: int = 0, most: int = segment.LONGEST) -> Column:
         """Lexicon words that begin at ``start``, shortest first."""
@@ -161,6 +175,8 @@ class TextFunctions:
         """``df`` with ``result``: words, lines, wrap or join of ``text``, normalized first if asked for."""
         if limited and max(len(marker), len(delimiter)) > MOST_MARKER:
             raise ValueError(f"a marker or delimiter has at most {MOST_MARKER} characters")
+        if limited and df.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+            raise ValueError(f"a request has at most {MOST_ITEMS} items")
         source = F.col(text)
         if limited:
             source = F.when(F.length(text) > MOST_CHARS, F.raise_error(F.lit(f"a text has at most {MOST_CHARS} characters")).cast("string")).otherwise(source)
@@ -172,14 +188,8 @@ class TextFunctions:
         return df.withColumn("result", ways[mode](source))
 
     def tokens_of(self, df: DataFrame, text: str = "text", into: str = "tokens") -> DataFrame:
-        """``df`` with the tokens of ``text``; rows without Thai letters never leave the JVM.
-
-        A conditional column would send every row through Python, so the table
-        is parted by the condition and put together again.
-        """
-        thai = F.coalesce(F.col(text).rlike(THAI_LETTER), F.lit(False))
-        native = F.filter(plain_tokens(text), lambda t: ~t.rlike(BLANK))
-        return df.where(~thai).withColumn(into, native).unionByName(df.where(thai).withColumn(into, self.tokens(text)))
+        """``df``, read once, with the tokens of ``text``."""
+        return df.withColumn(into, self.tokens(text))
 
 
 def following(boundaries: Column, offset: Column | int) -> Column:
@@ -192,6 +202,26 @@ def preceding(boundaries: Column, offset: Column | int) -> Column:
     return F.array_max(F.filter(boundaries, lambda b: b < offset))
 
 
+def moved(boundaries: Column, at: Column | int, n: int) -> Column:
+    """The boundary ``n`` places on from the boundary ``at``; null beyond the ends and where ``at`` is none."""
+    here = F.array_position(boundaries, F.lit(at) if isinstance(at, int) else at)
+    to = here + n
+    return F.when((here > 0) & (to > 0) & (to <= F.size(boundaries)), F.get(boundaries, (to - 1).cast("int")))
+
+
+def next_boundary(boundaries: Column, at: Column | int) -> Column:
+    return moved(boundaries, at, 1)
+
+
+def previous_boundary(boundaries: Column, at: Column | int) -> Column:
+    return moved(boundaries, at, -1)
+
+
+def current_boundary(boundaries: Column, at: Column | int) -> Column:
+    """``at`` itself if it is a boundary."""
+    return moved(boundaries, at, 0)
+
+
 def is_boundary(boundaries: Column, offset: Column | int) -> Column:
     return F.array_contains(boundaries, offset)
 

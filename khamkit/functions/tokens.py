@@ -12,11 +12,15 @@ PLAIN_TOKEN = (
 )
 
 
-def plain_tokens(text: Column | str) -> Column:
-    """All tokens in order, blanks included; null text gives null."""
-    return F.regexp_extract_all(text, F.lit(PLAIN_TOKEN), F.lit(0))
+#: A token of white space alone.
+BLANK = r"^\p{IsWhite_Space}*$"
+
+
+def plain_tokens(text: Column | str, whole: bool = False) -> Column:
+    """All tokens in order, blanks included; null text gives null. ``whole`` gives a lone carriage return too."""
+    return F.regexp_extract_all(text, F.lit(PLAIN_TOKEN + r"|\r" if whole else PLAIN_TOKEN), F.lit(0))
 
 
 def plain_words(text: Column | str) -> Column:
     """The tokens that hold anything but white space."""
-    return F.filter(plain_tokens(text), lambda t: ~t.rlike(r"^\p{IsWhite_Space}*$"))
+    return F.filter(plain_tokens(text), lambda t: ~t.rlike(BLANK))

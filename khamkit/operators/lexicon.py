@@ -52,15 +52,27 @@ def prefix_table(lexicon: DataFrame) -> DataFrame:
     return starts.select("p.*").groupBy("prefix").agg(F.max("weight").alias("weight"))
 
 
+#: A lexicon of at most so many words is sent to the tasks that look them up.
+SENT_WORDS = 200_000
+
+
 def prefixes_in(df: DataFrame, lexicon: DataFrame, text: str = "text", most: int = 40) -> DataFrame:
     """``df`` with one row for each place and word that begins there: start, word, weight.
 
-    Beginnings of up to ``most`` characters meet the lexicon in an equi-join.
+    Only beginnings of the lengths that words have meet the lexicon, in an
+    equi-join; a small lexicon, counted first, is broadcast.
     """
+    words = lexicon.where(F.length("word") <= most).select("word", "weight")
+    sizes = words.select(F.length("word").alias("size")).distinct()
+    lengths = sorted(r["size"] for r in sizes.collect())  # at most ``most`` of them
+    if not lengths:
+        return df.where("false").select("*", F.lit(0).alias("start"), F.lit("").alias("word"), F.lit(0.0).alias("weight"))
     n = F.length(text)
     places = df.where(n > 0).withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
-    ends = places.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("start")))))
-    return ends.withColumn("word", F.substring(F.col(text), F.col("start") + 1, F.col("size"))).drop("size").join(lexicon.select("word", "weight"), "word")
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda size: size <= n - F.col("start"))
+    begun = places.withColumn("word", F.explode(F.transform(fitting, lambda size: F.substring(F.col(text), F.col("start") + 1, size))))
+    few = words.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    return begun.join(F.broadcast(words) if few else words, "word").select(*df.columns, "start", "word", "weight")
 
 
 def ranked(sources: list[DataFrame], last_wins: bool) -> DataFrame:
@@ -81,13 +93,53 @@ def merge_first_wins(*sources: DataFrame, weights: DataFrame | None = None) -> D
 
 
 def bigrams_of(tokens: DataFrame, by: str, position: str = "pos", token: str = "token") -> DataFrame:
-    """(prev, next, count) of neighbouring tokens of a text."""
+    """(prev, next, count) of neighbouring tokens, of a table with a row a token."""
     order = Window.partitionBy(by).orderBy(position)
     pairs = tokens.select(F.col(token).alias("prev"), F.lead(token).over(order).alias("next")).where(F.col("next").isNotNull())
     return pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 
+def bigrams_in(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(prev, next, count) of neighbouring tokens, of a table with an array of them a row.
+
+    Neighbours are paired inside the array, so only counts are shuffled.
+    """
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(tokens, 1, n).alias("prev"), F.slice(tokens, 2, n).alias("next"))
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.prev", "p.next").agg(F.count(F.lit(1)).cast("double").alias("count"))
+
+
 def add_bigrams(bigrams: DataFrame, more: DataFrame) -> DataFrame:
     """``bigrams`` with further pairs; counts of pairs that are there are replaced."""
     kept = bigrams.select("prev", "next", "count").join(more.select("prev", "next"), ["prev", "next"], "left_anti")
     return kept.unionByName(more.select("prev", "next", "count"))
+
+
+def bigram_counts(pairs: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """``pairs`` (prev, next) with ``has`` and ``count`` (0 if there is none)."""
+    own = bigrams.select("prev", "next", F.col("count").alias("found"))
+    return pairs.join(own, ["prev", "next"], "left").withColumns({"has": F.col("found").isNotNull(), "count": F.coalesce("found", F.lit(0.0))}).drop("found")
+
+
+def bigram_bonuses(bigrams: DataFrame, alpha: float = 0.15, formula: str = "count") -> DataFrame:
+    """``bigrams`` with ``bonus``, what a pair takes off the cost of its second word, by one of the three formulas."""
+    firsts = bigrams.groupBy("prev").agg(F.sum("count").alias("first"))
+    rows = bigrams.join(firsts, "prev")
+    n = F.col("count")
+    ways = {"count": F.ln(1 + n) / F.length("next"), "pmi": F.ln(1 + n) / F.ln(1 + F.col("first")), "probability": F.ln(1 + n / F.col("first")) / F.length("next")}
+    if formula not in ways:
+        raise ValueError(f"no bigram formula {formula!r}")
+    bonus = F.lit(float(alpha)) * ways[formula] if alpha > 0 else F.lit(0.0)
+    return rows.select("prev", "next", "count", bonus.alias("bonus"))
+
+
+def set_weights_told(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
+    """(word, applied) for each word of ``weights``: whether the lexicon has it, so that its weight was set."""
+    own = lexicon.select("word", F.lit(True).alias("own"))
+    return weights.select("word").distinct().join(own, "word", "left").select("word", F.coalesce("own", F.lit(False)).alias("applied"))
+
+
+def overlaid(base: DataFrame, overlay: DataFrame, df: DataFrame, column: str = "token", into: str = "weight") -> DataFrame:
+    """``df`` with each word's weight: the overlay's, else the base's, else 0. Neither lexicon is merged or changed."""
+    top = with_weight(df, overlay, column, "__overlay")
+    return with_weight(top, base, column, "__base").withColumn(into, F.when(F.col("__overlay") > 0, F.col("__overlay")).otherwise(F.col("__base"))).drop("__overlay", "__base")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khamkit.functions import amounts, text
-from khamkit.functions.segment import Lexicon
+from khamkit.functions import amounts, sql, text
+from khamkit.functions.segment import Bigrams, Lexicon
 from khamkit.functions.text import TextFunctions
-from khamkit.functions.tokens import plain_tokens, plain_words
+from khamkit.functions.tokens import BLANK, plain_tokens, plain_words
 from khamkit.operators import corpus
 from khamkit.operators import lexicon as lexicons
-from khamkit.sources.lexicons import model_lexicon, packaged
-from khamkit.sources.tables import table
+from khamkit.sources import corpora
+from khamkit.sources.lexicons import apply_weights, from_words, model_lexicon, packaged, read_bigrams, read_lexicon, read_weights, write_lexicon
+from khamkit.sources.tables import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,10 +54,9 @@ def functions(spark: SparkSession) -> TextFunctions:
     return TextFunctions(model_lexicon(packaged(spark)))
 
 
-def exploded(spark: SparkSession, sf_dir: str, blanks: bool = False) -> DataFrame:
-    """(doc_id, pos, token) of documents, natively."""
-    tokens = plain_tokens("text") if blanks else plain_words("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens).alias("pos", "token"))
+def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, token) of documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(functions(spark).tokens("text")).alias("pos", "token"))
 
 
 # Segmentation.
@@ -71,8 +73,9 @@ def word_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokens_per_doc", f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens, len({sql_words('text')}) AS n_words FROM documents")
 def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(plain_tokens("text")).cast("long").alias("n_tokens"), F.size(plain_words("text")).cast("long").alias("n_words"))
+    solid = lambda t: F.size(F.filter(t, lambda x: ~x.rlike(BLANK)))
+    both = amounts.bound(plain_tokens("text"), lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), solid(t).cast("long").alias("n_words")))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("n")).select("doc_id", "n.*")
 
 
 @query("tokens_exploded", f"""
@@ -86,7 +89,7 @@ def tokens_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tokens_lattice", f"SELECT item_id, array_to_string({sql_words('text')}, ' ') AS tokens FROM benchmark")
 def tokens_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segmenter itself, which outside Thai must find the pattern's tokens."""
-    return table(spark, sf_dir, "benchmark").select("item_id", functions(spark).join("text", " ").alias("tokens"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(functions(spark).lattice_tokens("text"), " ").alias("tokens"))
 
 
 @query("tokens_fast_path", f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS tokens FROM documents")
@@ -110,7 +113,7 @@ def spans_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join_tokens", f"SELECT item_id, array_to_string({sql_words('text')}, '|') AS joined FROM benchmark")
 def join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(plain_words("text"), "|").alias("joined"))
+    return table(spark, sf_dir, "benchmark").select("item_id", functions(spark).join("text", "|").alias("joined"))
 
 
 def boundary_sql(unit: str) -> str:
@@ -192,11 +195,11 @@ def html_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Line breaking.
 
 
-@query("lines_roundtrip", "SELECT item_id, md5(text) AS digest FROM benchmark")
+@query("lines_roundtrip", "SELECT doc_id, md5(text) AS digest FROM documents")
 def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With its markers taken out a text is what it was."""
     marked = functions(spark).lines("text", "\u0001")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.replace(marked, F.lit("\u0001"), F.lit(""))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace(marked, F.lit("\u0001"), F.lit(""))).alias("digest"))
 
 
 @query("lines_no_marker_by_space", "SELECT doc_id, false AS beside FROM documents")
@@ -207,8 +210,7 @@ def lines_no_marker_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("break_segments")
 def break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(functions(spark).segments("text")).alias("pos", "segment"))
-    return rows
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(functions(spark).segments("text")).alias("pos", "segment"))
 
 
 @query("break_action_counts")
@@ -229,7 +231,7 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wrap_lines")
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", functions(spark).wrap("text", 40).alias("wrapped"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", functions(spark).wrap("text", 40).alias("wrapped"))
     return text.wrapped_lines(rows, "wrapped")
 
 
@@ -346,7 +348,7 @@ def prefixes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT token AS prev, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM e)
     SELECT prev, next, count(*)::DOUBLE AS count FROM b WHERE next IS NOT NULL GROUP BY prev, next""")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicons.bigrams_of(exploded(spark, sf_dir), "doc_id")
+    return lexicons.bigrams_in(functions(spark).tokens_of(table(spark, sf_dir, "documents").select("text")))
 
 
 # Corpus statistics.
@@ -405,13 +407,22 @@ def segmentation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("without_overlap", """
-    SELECT chunk_id, text FROM (SELECT item_id AS chunk_id, text FROM benchmark)
-    WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 3 = 0)""")
+    SELECT conv_id, turn, text FROM conversations
+    WHERE trim(text) NOT IN (SELECT trim(text) FROM documents WHERE text IS NOT NULL)""")
 def without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts that no text with an id divisible by 3 equals."""
-    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.array("text").alias("words"))
-    kept = corpus.without_overlap(chunks, chunks.where("chunk_id % 3 = 0"))
-    return kept.select("chunk_id", F.element_at("words", 1).alias("text"))
+    """Turns of conversations that no document equals."""
+    chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array(F.trim("text")).alias("words"))
+    seen = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.array(F.trim("text")).alias("words"))
+    return corpus.without_overlap(chunks, seen).select("conv_id", "turn", "text")
+
+
+@query("overlap_found", """
+    SELECT item_id FROM benchmark WHERE text NOT IN (SELECT text FROM benchmark WHERE length(text) > (SELECT median(length(text)) FROM benchmark))""")
+def overlap_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items left when the longer half counts as seen."""
+    chunks = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("size"), F.array("text").alias("words"))
+    middle = chunks.agg(F.median("size")).first()[0]
+    return corpus.without_overlap(chunks, chunks.where(F.col("size") > middle)).select("item_id")
 
 
 # Utilities.
@@ -462,7 +473,7 @@ def validate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", amounts.validate_id(number).alias("r")).select("o_orderkey", "r.*")
 
 
-# Thai texts, with small lexicons of their own.
+# Texts whose results are known by how they are made.
 
 
 def cases_sql(cases: list[tuple[str, str]]) -> str:
@@ -477,6 +488,305 @@ def cases(name: str, expected: list[tuple[str, str]], run: Callable[[SparkSessio
     query(name, cases_sql(expected))(answer)
 
 
+def drawn_sql(slots: list[list[str]], key: str) -> list[str]:
+    """SQL for the choice of each slot, which the row's key draws."""
+    return [f"[{', '.join(repr(x) for x in slot)}][({key} // {5**k} + {3 * k}) % {len(slot)} + 1]" for k, slot in enumerate(slots)]
+
+
+def drawn(slots: list[list[str]], key: str) -> list:
+    at = lambda k, n: (F.call_function("div", F.col(key), F.lit(5**k).cast("long")) + 3 * k) % n + 1
+    return [F.element_at(F.array(*map(F.lit, slot)), at(k, len(slot)).cast("int")) for k, slot in enumerate(slots)]
+
+
+def made(name: str, slots: list[list[tuple[str, str]]], run: Callable[[SparkSession], Callable], separator: str = "|", glue: str = "", sql: str | None = None) -> None:
+    """A query over a made text for each order: a choice (text, result) of each slot, drawn by the order's key.
+
+    The result must be the choices' results, joined; ``sql`` works it out of
+    them (as the list ``g``) in another way.
+    """
+    results = ", ".join(drawn_sql([[r for _, r in slot] for slot in slots], "o_orderkey"))
+    kept = f"list_filter([{results}], lambda x: x <> '')"
+    whole = sql or f"array_to_string(g, '{separator}')"
+
+    def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.concat_ws(glue, *drawn([[t for t, _ in slot] for slot in slots], "o_orderkey"))
+        return table(spark, sf_dir, "orders").select("o_orderkey", texts.alias("text")).select("o_orderkey", run(spark)("text").cast("string").alias("result"))
+
+    query(name, f"WITH t AS (SELECT o_orderkey, {kept} AS g FROM orders) SELECT o_orderkey, {whole} AS result FROM t")(answer)
+
+
+#: A lexicon of words that can be put together in any order and read in one way only.
+APART = dict(zip("กิน ข้าว ไป ตลาด บ้าน สวย แมว หมา เดิน น้ำ ปลา ใหญ่".split(), (30.0, 20.0, 50.0, 40.0, 20.0, 30.0, 30.0, 50.0, 60.0, 40.0, 30.0, 20.0), strict=True))
+LISTED = [(w, w) for w in APART]
+apart = lambda spark: TextFunctions(Lexicon.of(APART))
+
+made("thai_segmentation", [LISTED] * 8, lambda spark: apart(spark).join)
+made("thai_unknown_words", [LISTED, [(w, w) for w in ("ชวรัตน์", "กษิต", "เฌอฏา")], LISTED, [("ฟหฬ", "ฟหฬ"), ("", "")], LISTED], lambda spark: apart(spark).join)
+made("thai_abbreviations", [LISTED, [(x, x.strip()) for x in (" มิ.ย. ", "ก.ค.", " พ.ศ. ", "ส.ส.", "พ.ต.ท.")], LISTED, LISTED], lambda spark: apart(spark).join)
+made("thai_full_stops", [LISTED, [(f"{w}.", f"{w}|.") for w in ("ข้าว", "บ้าน", "น้ำ", "ใหญ่")]], lambda spark: apart(spark).join)
+made("thai_letter_names", [LISTED, [("เอทีเอ็ม", "เอทีเอ็ม"), ("บีบีซี", "บีบีซี")], LISTED], lambda spark: apart(spark).join)
+made("thai_respelled", [LISTED, [("เเมว", "เเมว"), ("นํ้า", "นํ้า")], LISTED, [("เเมว", "เเมว"), ("กิน", "กิน")]], lambda spark: apart(spark).join)
+made("thai_and_others", [LISTED, [(x, x) for x in ("25%", "ABC-1", "1,000.5", "😀", "é")], LISTED, [(" ", ""), ("\n", ""), ("!", "!")], LISTED], lambda spark: apart(spark).join)
+made("thai_lines", [LISTED] * 6, lambda spark: lambda c: apart(spark).lines(c, "|"))
+made("thai_line_markers", [LISTED, [(" ", " "), ("abc", "abc"), (") ", ") ")], LISTED], lambda spark: lambda c: F.replace(apart(spark).lines(c, "|"), F.lit("|"), F.lit("")), separator="")
+for unit, size in (("char", "length(x)"), ("byte", "strlen(x)"), ("utf16", "length(x)")):
+    ends = f"list_transform(range(0, len(g) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: {size})), 0)::BIGINT)"
+    made(f"thai_boundaries_{unit}", [LISTED] * 5, lambda spark, unit=unit: lambda c: F.array_join(apart(spark).boundaries(c, unit).cast("array<string>"), ","), sql=f"array_to_string({ends}, ',')")
+made("thai_counts", [LISTED] * 8, lambda spark: lambda c: F.size(apart(spark).tokens(c)), sql="len(g)::VARCHAR")
+SYLLABLES = [(w, w) for w in "กา ปี ดี ไป มา เขา นำ ที่ ยัง เดิน เสีย".split()]
+made("thai_cluster_edges", [SYLLABLES] * 6, lambda spark: lambda c: F.array_join(F.filter(F.transform(text.cluster_edges(c), lambda e, i: F.when(e, i.cast("string"))), lambda x: x.isNotNull()), ","), sql="array_to_string(list_transform(range(0, len(g) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)::BIGINT), ',')")
+#: Misspelled words and their normal spelling; among them every order of tone and vowel that is put right.
+MISSPELLED = [("เเมว", "แมว"), ("นํ้า", "น้ำ"), ("ปลาๆๆๆ", "ปลาๆ"), ("มากกก", "มาก"), ("ท่ี", "ที่"), ("กาาา", "กา"), ("กา่", "ก่า"), ("มๅ", "มา"), ("ฤๅ", "ฤๅ"), ("ข้\u200bาว", "ข้าว"), ("ส้ัน", "สั้น"), ("แมว ่", "แมว่")]
+made("thai_normalize_table", [MISSPELLED] * 4, lambda spark: apart(spark).normalize, separator="-", glue="-")
+
+#: How a line fills up: each piece, if it fits beside what is there, else on the next line.
+FILL = """
+    WITH RECURSIVE t AS ({pieces}),
+    r AS (SELECT k, g, 1 AS i, '' AS done, '' AS line FROM t UNION ALL
+          SELECT k, g, i + 1, CASE WHEN {full} THEN done || rtrim(line) || '/' ELSE done END, CASE WHEN {full} THEN g[i] ELSE line || g[i] END FROM r WHERE i <= len(g))
+    SELECT k AS {key}, done || rtrim(line) AS result FROM r WHERE i = len(g) + 1"""
+SQL_WIDTH = "length(regexp_replace({}, '[\\x{{0E31}}\\x{{0E34}}-\\x{{0E3A}}\\x{{0E47}}-\\x{{0E4E}}]', '', 'g'))"
+
+
+def full(width: int) -> str:
+    return f"line <> '' AND {SQL_WIDTH.format('line')} + {SQL_WIDTH.format('rtrim(g[i])')} > {width}"
+
+
+made("thai_wrap", [LISTED] * 8, lambda spark: lambda c: apart(spark).wrap(c, 11, separator="/"))
+ORACLE["thai_wrap"] = FILL.format(key="o_orderkey", full=full(11), pieces=f"SELECT o_orderkey AS k, [{', '.join(drawn_sql([[w for w, _ in LISTED]] * 8, 'o_orderkey'))}] AS g FROM orders")
+
+
+@query("wrap_names", FILL.format(key="p_partkey", full=full(12), pieces="SELECT p_partkey AS k, regexp_extract_all(p_name, '[^ ]+ *') AS g FROM part"))
+def wrap_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names on lines of 12 columns."""
+    return table(spark, sf_dir, "part").select("p_partkey", functions(spark).wrap("p_name", 12, separator="/").alias("result"))
+
+
+@query("segments_of_names", "WITH t AS (SELECT p_partkey, regexp_extract_all(p_name, '[^ ]+ *') AS g FROM part) SELECT p_partkey, unnest(range(len(g))) AS pos, unnest(g) AS segment FROM t")
+def segments_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of letters and blanks break after their blanks only."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(functions(spark).segments("p_name")).alias("pos", "segment"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("lines_of_priorities", "SELECT o_orderkey, replace(o_orderpriority, '-', '-|') AS result FROM orders")
+def lines_of_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line may break after the hyphen of 1-URGENT, and after blanks, which need no marker."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", functions(spark).lines("o_orderpriority", "|").alias("result"))
+
+
+@query("break_actions_of_names", """
+    WITH t AS (SELECT p_partkey, string_split(p_name, '') AS c FROM part)
+    SELECT p_partkey, array_to_string(list_transform(range(0, len(c) + 1), lambda i: CASE WHEN i = len(c) THEN '2' WHEN i > 0 AND c[i] = ' ' AND c[i + 1] <> ' ' THEN '1' ELSE '0' END), '') AS actions FROM t""")
+def break_actions_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action before each place: a break after blanks, and the end."""
+    actions = functions(spark).break_actions("p_name", dictionary=False)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(actions.cast("array<string>"), "").alias("actions"))
+
+
+@query("compare_names", "SELECT p_partkey, replace(p_name, ' ', '|') AS words, p_name AS lines FROM part")
+def compare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions(spark).compare(table(spark, sf_dir, "part"), "p_name").select("p_partkey", "words", "lines")
+
+
+@query("boundary_steps", f"""
+    WITH t AS (SELECT item_id, list_prepend(0, list_transform({sql_tokens("text")}, lambda x: length(x))) AS s FROM benchmark),
+    b AS (SELECT item_id, list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i])::BIGINT) AS b FROM t)
+    SELECT item_id, b[2] AS after_first, b[-2] AS before_last, b[1] AS back, NULL::BIGINT AS before_first, NULL::BIGINT AS after_last, b[6] AS fifth, b[6] AS here FROM b""")
+def boundary_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The iterator's steps from the first, the last and the sixth boundary."""
+    b = F.col("b")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", functions(spark).boundaries("text").alias("b"))
+    steps = {
+        "after_first": text.next_boundary(b, text.first(b)),
+        "before_last": text.previous_boundary(b, text.last(b)),
+        "back": text.previous_boundary(b, text.next_boundary(b, text.first(b))),
+        "before_first": text.previous_boundary(b, text.first(b)),
+        "after_last": text.next_boundary(b, text.last(b)),
+        "fifth": text.moved(b, text.first(b), 5),
+        "here": text.current_boundary(b, F.element_at(b, 6)),
+    }
+    return rows.select("item_id", *[c.cast("long").alias(n) for n, c in steps.items()])
+
+
+cases(
+    "line_break_cases",
+    [("state-of-the-art", "state-|of-|the-|art"), ("https://example.com/a-b?x=1", "https://|example.com/|a-|b?|x=1"), ("ISO/IEC 29110", "ISO/|IEC |29110"), ("🇹🇭🇯🇵", "🇹🇭|🇯🇵"), ("A\\B", "A\\B"), ("a\r\nb", "a\r\nb"), ("1,234.56 $5 50%", "1,234.56 |$5 |50%"), ("中国 日本", "中|国 |日|本"), ("(a) b!", "(a) |b!")],
+    lambda spark: lambda c: F.array_join(functions(spark).segments(c), "|"),
+)
+#: Two tokens, with a tab between, and whether a line may break there.
+BETWEEN = [("ไป\tกิน", "true"), ("a\tb", "false"), ("ISO/\tIEC", "true"), ("state-\tof", "true"), ("ไป\t ", "false"), ("\tx", "false"), ("กิน\tๆ", "false"), ("(\tไป", "false"), ("ไป\t)", "false"), ("100\t%", "false"), ("中\t国", "true"), ("a \tb", "false")]
+cases("can_break_cases", BETWEEN, lambda spark: lambda c: functions(spark).can_break_between(F.split_part(F.col(c), F.lit("\t"), F.lit(1)), F.split_part(F.col(c), F.lit("\t"), F.lit(2))).cast("string"))
+cases("wrap_html_cases", [("<b>the quick</b> brown fox", "<b>the/quick</b>/brown fox"), ("<p>ไปกินข้าว</p>", "<p>ไปกิน/ข้าว</p>")], lambda spark: lambda c: apart(spark).wrap(c, 10, is_html=True, separator="/"))
+cases("trusted_html_lines", [("<b>ไปกิน</b>&nbsp;ปลา", "<b>ไป|กิน</b>&nbsp;ปลา"), ("ไป<br>กินปลา", "ไป<br>กิน|ปลา")], lambda spark: lambda c: apart(spark).lines(c, "|", is_html=True))
+
+#: Each step of normalization, a text that it changes, and what becomes of it.
+STEPS = [
+    ("remove_zero_width", "ก\u200bา", "กา"),
+    ("normalize_sara_ae", "เเก", "แก"),
+    ("remove_spaces_before_marks", "ก ่า", "ก่า"),
+    ("normalize_sara_am", "นํา", "นำ"),
+    ("reorder_vowels_tone", "ท่ี", "ที่"),
+    ("remove_dangling", "ก ่", "ก "),
+    ("remove_repeat_vowels", "กาา", "กา"),
+    ("remove_repeat_consonants", "กกก", "ก"),
+]
+
+
+@query("normalize_steps", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}', '{on}')" for s, t, on in STEPS) + ") t(step, text, changed)")
+def normalize_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each step alone, all others switched off."""
+    t = functions(spark)
+    names = [s for s, *_ in STEPS]
+    one = lambda step, given: spark.createDataFrame([(step, given)], "step string, text string").select("step", "text", t.normalize("text", **{n: n == step for n in names}).alias("changed"))
+    return reduce(DataFrame.unionByName, [one(step, given) for step, given, _ in STEPS])
+
+
+PAIRED = {w: 1.0 for w in ("ตา", "กลม", "ตาก", "ลม")}
+for formula in ("count", "pmi", "probability"):
+    for first, second in (("ตา", "กลม"), ("ตาก", "ลม")):
+        pairs = Bigrams.of([(first, second, 50.0), (first, "อื่น", 3.0)], 2.0, formula)
+        cases(f"bigram_{formula}_{len(first)}", [("ตากลม", f"{first}|{second}")], lambda spark, pairs=pairs: TextFunctions(Lexicon.of(PAIRED), bigrams=pairs).join)
+
+SQL_PAIRS = f"""
+    t AS (SELECT {sql_words("text")} AS w FROM benchmark), b AS (SELECT unnest(w[1:len(w) - 1]) AS prev, unnest(w[2:]) AS next FROM t WHERE len(w) > 1),
+    c AS (SELECT prev, next, count(*)::DOUBLE AS n FROM b GROUP BY prev, next), f AS (SELECT prev, sum(n) AS u FROM c GROUP BY prev)"""
+
+
+@query("bigram_bonuses", f"WITH {SQL_PAIRS} SELECT c.prev, next, n AS count, round(0.15 * ln(1 + n) / length(next), 9) AS by_count, round(0.15 * ln(1 + n) / ln(1 + u), 9) AS by_pmi, round(0.15 * ln(1 + n / u) / length(next), 9) AS by_probability FROM c JOIN f ON c.prev = f.prev")
+def bigram_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pairs of benchmark words take off, by each formula."""
+    pairs = lexicons.bigrams_in(functions(spark).tokens_of(table(spark, sf_dir, "benchmark").select("text")))
+    by = [lexicons.bigram_bonuses(pairs, formula=f).select("prev", "next", "count", F.round("bonus", 9).alias(f"by_{f}")) for f in ("count", "pmi", "probability")]
+    return reduce(lambda a, b: a.join(b, ["prev", "next", "count"]), by)
+
+
+@query("bigram_lookup", f"WITH {SQL_PAIRS}, q AS (SELECT DISTINCT next AS prev, prev AS next FROM c) SELECT q.prev, q.next, n IS NOT NULL AS has, coalesce(n, 0.0) AS count FROM q LEFT JOIN c ON q.prev = c.prev AND q.next = c.next")
+def bigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pairs occur the other way round, and how often."""
+    pairs = lexicons.bigrams_in(functions(spark).tokens_of(table(spark, sf_dir, "benchmark").select("text")))
+    return lexicons.bigram_counts(pairs.select(F.col("next").alias("prev"), F.col("prev").alias("next")).distinct(), pairs)
+
+
+@query("weights_applied", f"{SQL_BOTH} SELECT word, word IN (SELECT word FROM p) AS applied FROM t")
+def weights_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.set_weights_told(part_words(spark, sf_dir), type_words(spark, sf_dir))
+
+
+@query("lexicon_overlaid", f"{SQL_BOTH} SELECT word, coalesce(t.weight, p.weight, 0.0) AS weight FROM (SELECT word FROM p UNION SELECT word FROM t) JOIN (SELECT word AS tw, weight FROM t) t ON word = tw LEFT JOIN (SELECT word AS pw, weight FROM p) p ON word = pw UNION ALL SELECT word, weight FROM p WHERE word NOT IN (SELECT word FROM t)")
+def lexicon_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all words through an overlay of type words on part words."""
+    base, overlay = part_words(spark, sf_dir), type_words(spark, sf_dir)
+    every = base.select("word").union(overlay.select("word")).distinct()
+    return lexicons.overlaid(base, overlay, every, "word")
+
+
+# Files written by one query and read by another's source.
+
+
+@query("lexicon_files", f"WITH {SQL_PARTS} SELECT 'tsv' AS kind, word, weight FROM p UNION ALL SELECT 'sniffed', word, weight FROM p UNION ALL SELECT 'plain', word, 1.0 FROM p")
+def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words written as a text with weights, as parquet without an ending, and as a plain list, and read again."""
+    folder = scratch(spark)
+    words = part_words(spark, sf_dir)
+    words.select(F.concat_ws("\t", "word", F.col("weight").cast("string")).alias("value")).write.text(f"{folder}/tsv")
+    write_lexicon(words, f"{folder}/sniffed")
+    words.select("word").write.text(f"{folder}/plain")
+    read = {"tsv": read_lexicon(spark, f"{folder}/tsv"), "sniffed": read_lexicon(spark, f"{folder}/sniffed"), "plain": read_lexicon(spark, f"{folder}/plain", "plain")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "word", "weight") for kind, df in read.items()])
+
+
+@query("weight_files", f"{SQL_BOTH} SELECT p.word, coalesce(t.weight, p.weight) AS weight FROM p LEFT JOIN t ON p.word = t.word")
+def weight_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    type_words(spark, sf_dir).select(F.concat_ws("\t", "word", F.col("weight").cast("string")).alias("value")).write.text(folder)
+    return apply_weights(part_words(spark, sf_dir), read_weights(spark, folder))
+
+
+@query("bigram_files", f"WITH {SQL_PAIRS} SELECT prev, next, n AS count FROM c")
+def bigram_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    pairs = lexicons.bigrams_in(functions(spark).tokens_of(table(spark, sf_dir, "benchmark").select("text")))
+    # A comment sign at a line's start would hide the pair.
+    pairs.select(F.concat_ws("\t", "prev", "next", F.col("count").cast("string")).alias("value")).write.text(folder)
+    return read_bigrams(spark, folder).select("prev", "next", "count")
+
+
+@query("gold_chunks", """
+    WITH t AS (SELECT string_split(p_name, ' ') AS w, p_partkey FROM part)
+    SELECT array_to_string(list_filter(w, lambda x: x <> ''), '|') AS words, count(*) AS n FROM t GROUP BY 1""")
+def gold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names written as a gold corpus, a word a line and a blank line after each, and read as chunks."""
+    folder = scratch(spark)
+    line = lambda w: F.concat(w, F.lit("\tNN\tO\tO"))
+    names = table(spark, sf_dir, "part").select(F.explode(F.concat(F.transform(F.split("p_name", " "), line), F.array(F.lit("")))).alias("value"))
+    names.write.text(folder)
+    chunks = corpora.lst20_chunks(corpora.numbered(spark, folder))
+    return chunks.groupBy(F.array_join("words", "|").alias("words")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("oov_top30", f"""
+    WITH t AS (SELECT [{", ".join(drawn_sql([["ชวรัตน์", "กษิต", "เฌอฏา"], [w for w, _ in LISTED]], "o_orderkey"))}] AS g FROM orders)
+    SELECT g[1] AS word, count(*) AS n FROM t GROUP BY g[1] ORDER BY n DESC, word LIMIT 30""")
+def oov_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missed words that the lexicon lacks, where the prediction joins each to the word after it."""
+    words = F.array(*drawn([["ชวรัตน์", "กษิต", "เฌอฏา"], [w for w, _ in LISTED]], "o_orderkey"))
+    gold = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), words.alias("words"))
+    pred = gold.select("chunk_id", F.array(F.array_join("words", "")).alias("words"))
+    return corpus.unknown_words(gold, pred, from_words(spark, APART), 30)
+
+
+@query("error_causes_thai", """
+    SELECT 'not_in_lexicon' AS cause, count(*) AS n FROM orders UNION ALL SELECT 'in_lexicon', count(*) FROM orders UNION ALL SELECT 'non_thai', count(*) FROM orders""")
+def error_causes_thai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One missed word of each cause an order; chunks whose texts differ don't count."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"))
+    gold = rows.withColumn("words", F.array(F.lit("กษิต"), F.lit("กิน"), F.lit("abc")))
+    pred = rows.withColumn("words", F.array(F.lit("กษิตกินabc")))
+    other = rows.select((-F.col("chunk_id") - 1).alias("chunk_id"))
+    gold = gold.unionByName(other.withColumn("words", F.array(F.lit("กิน"))))
+    pred = pred.unionByName(other.withColumn("words", F.array(F.lit("ปลา"))))
+    return corpus.error_causes(gold, pred, from_words(spark, APART))
+
+
+@query("first_chunks", "SELECT item_id AS chunk_id FROM benchmark ORDER BY item_id LIMIT 10")
+def first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id")), 10)
+
+
+@query("latency_percentiles", "SELECT round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.95), 6) AS p95, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.latency(table(spark, sf_dir, "orders"), "o_totalprice")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query("process_modes", "SELECT p_partkey, replace(p_name, ' ', '|') AS words, p_name AS lines, replace(p_name, ' ', '+') AS joined, p_name AS wrapped FROM part")
+def process_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names through every mode of the dispatcher."""
+    t, rows = functions(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    of = lambda mode, **more: t.process(rows, mode, "p_name", **more)
+    out = of("words").select("p_partkey", F.array_join("result", "|").alias("words"))
+    for name, df in (("lines", of("lines", marker="|")), ("joined", of("join", delimiter="+")), ("wrapped", of("wrap", width=500))):
+        out = out.join(df.select("p_partkey", F.col("result").alias(name)), "p_partkey")
+    return out
+
+
+@query("model_info", f"SELECT {len(APART)}::BIGINT AS words, {sum(APART.values())}::DOUBLE AS total_weight, 1::BIGINT AS bigrams, 'ok' AS status")
+def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql.model_info(spark, TextFunctions(Lexicon.of(APART), bigrams=Bigrams.of([("กิน", "ข้าว", 3.0)])))
+
+
+@query("sql_functions", "SELECT p_partkey, replace(p_name, ' ', '|') AS joined, length(p_name) AS width, len(string_split(p_name, ' '))::BIGINT AS n FROM part")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL functions and the table function, from SQL."""
+    sql.register(spark, functions(spark), "cat_")
+    view = f"part_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").createOrReplaceTempView(view)
+    return spark.sql(f"""
+        SELECT p_partkey, cat_join(p_name) AS joined, cat_display_width(p_name) AS width, n
+        FROM {view} JOIN (SELECT p_partkey AS k, count(*) AS n FROM {view}, LATERAL cat_tokens(p_name) WHERE trim(token) <> '' GROUP BY p_partkey) ON p_partkey = k""")
+
+
 WEIGHTED = {"ตา": 3000.0, "กลม": 3000.0, "ตากลม": 9000.0, "ของ": 9000.0, "ดี": 9000.0, "ของดี": 100.0, "ไป": 1.0, "กรมการกงสุล": 1.0}
 cases("thai_words", [("ตากลม", "ตากลม"), ("ของดี", "ของ|ดี"), ("ไปกรมการกงสุล", "ไป|กรมการกงสุล")], lambda spark: TextFunctions(Lexicon.of(WEIGHTED)).join)
 cases("thai_dual_lexicon_lines", [("ไปกรมการกงสุล", "ไป|กรม|การ|กงสุล")], lambda spark: lambda c: TextFunctions(Lexicon.of(["ไป", "กรมการกงสุล"]), Lexicon.of(["ไป", "กรม", "การ", "กงสุล"])).lines(c, "|"))

@@ -48,8 +48,10 @@ def read_plain(spark: SparkSession, path: str, weight: float = 1.0) -> DataFrame
 
 
 def read_lexicon(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """A lexicon by its format, or by the ending of its path: parquet, tsv, txt (read as tsv) or plain."""
+    """A lexicon by its format: parquet, tsv, txt (read as tsv) or plain; else by the ending of its path or what its files begin with."""
     kind = format or Path(path.rstrip("/")).suffix.removeprefix(".").lower()
+    if not format and kind not in ("parquet", "plain"):
+        kind = "parquet" if begins_as_parquet(spark, path) else "tsv"
     if kind == "parquet":
         return checked(spark.read.parquet(path).select("word", F.col("weight").cast("double").alias("weight")))
     if kind == "plain":
@@ -59,6 +61,22 @@ def read_lexicon(spark: SparkSession, path: str, format: str | None = None) -> D
     raise ValueError(f"no lexicon format {kind!r}")
 
 
+def begins_as_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the first file at ``path`` begins as parquet files do; a path that isn't there doesn't."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return False
+    found = [x.getPath() for x in system.listStatus(where) if x.isFile() and x.getLen() and not x.getPath().getName().startswith(("_", "."))]
+    if not found:
+        return False
+    stream = system.open(found[0])
+    try:
+        return [stream.read() for _ in range(4)] == list(b"PAR1")
+    finally:
+        stream.close()
+
+
 def from_words(spark: SparkSession, words: list[str] | dict[str, float]) -> DataFrame:
     """(word, weight) of a list (weight 1) or a mapping; empty words are left out."""
     rows = [(w, float(x)) for w, x in (words.items() if isinstance(words, dict) else ((w, 1.0) for w in words)) if w]
@@ -128,10 +146,12 @@ def write_lexicon(lexicon: DataFrame, path: str) -> None:
 
 
 def read_bigrams(spark: SparkSession, path: str) -> DataFrame:
-    """(prev, next, count) of lines with three parts whose count is a number above 0, in file order by ``seq``."""
+    """(prev, next, count) of lines with three parts whose count is a number above 0, in the order of files and lines by ``seq``."""
     parts = F.split("value", "\t")
-    rows = listed(spark, path).select(F.get(parts, F.lit(0)).alias("prev"), F.get(parts, F.lit(1)).alias("next"), F.get(parts, F.lit(2)).try_cast("double").alias("count"))
-    return rows.where("count > 0").withColumn("seq", F.monotonically_increasing_id())
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    rows = whole.select("file", "line_no", trimmed(F.col("value")).alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    rows = rows.select(F.struct("file", "line_no").alias("seq"), F.get(parts, F.lit(0)).alias("prev"), F.get(parts, F.lit(1)).alias("next"), F.get(parts, F.lit(2)).try_cast("double").alias("count"))
+    return rows.where("count > 0").select("prev", "next", "count", "seq")
 
 
 def bounded(rows: DataFrame, what: str) -> list:

@@ -102,6 +102,54 @@ def test_lexicon_files(spark, tmp_path):
     assert "ไทย" in sources.model_lexicon(sources.default_lexicon(spark))
 
 
+def test_streams_and_counts_keep_thai_words(spark, tmp_path):
+    """Words of both scripts in a stream's windows and in counts, also in one text."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("ไปกินข้าว 10 abc\nplain words abc\n", encoding="utf-8")
+    t = TextFunctions(Lexicon.of(["ไป", "กิน", "ข้าว"]))
+    lines = streams.read_lines(spark, str(tmp_path / "in")).withColumn("time", F.lit("2026-01-01").cast("timestamp"))
+    out = streams.windowed_counts(lines, "time", "value", functions=t)
+    running = out.writeStream.format("memory").queryName("thai_counts").outputMode("complete").start()
+    running.processAllAvailable()
+    running.stop()
+    found = {r["token"]: r["n"] for r in spark.table("thai_counts").collect()}
+    assert found == {"ไป": 1, "กิน": 1, "ข้าว": 1, "10": 1, "abc": 2, "plain": 1, "words": 1}
+    rows = spark.createDataFrame([("ไปกิน abc",), ("a\rb  c",), (None,), ("",)], "text string")
+    assert [r["tokens"] for r in t.tokens_of(rows).collect()] == [["ไป", "กิน", "abc"], ["a", "b", "c"], None, []]
+    assert [r[0] for r in rows.select(t.tokens("text", keep_whitespace=True)).collect()] == [["ไป", "กิน", " ", "abc"], ["a", "\r", "b", "  ", "c"], None, []]
+    assert [r[0] for r in rows.select(F.array_join(t.lattice_tokens("text"), "|")).collect()] == ["ไป|กิน|abc", "a|b|c", None, ""]
+    assert lexicons.bigrams_in(t.tokens_of(rows)).count() == 4
+
+
+def test_formats_overlays_and_limits(spark, tmp_path):
+    words = sources.from_words(spark, {"ไป": 2.0, "กิน": 3.0})
+    sources.write_lexicon(words, str(tmp_path / "bare"))
+    (tmp_path / "list").write_text("ไป\t5\n", encoding="utf-8")
+    assert sources.read_lexicon(spark, str(tmp_path / "bare")).count() == 2 and sources.read_lexicon(spark, str(tmp_path / "list")).first()["weight"] == 5.0
+    asked = spark.createDataFrame([("ไป",), ("กิน",), ("ปลา",)], "token string")
+    found = lexicons.overlaid(words, sources.from_words(spark, {"ไป": 1.0}), asked).collect()
+    assert {r["token"]: r["weight"] for r in found} == {"ไป": 1.0, "กิน": 3.0, "ปลา": 0.0}
+    told = lexicons.set_weights_told(words, sources.from_words(spark, {"ไป": 9.0, "ปลา": 1.0})).collect()
+    assert {r["word"]: r["applied"] for r in told} == {"ไป": True, "ปลา": False}
+    with pytest.raises(ValueError, match="items"):
+        TextFunctions(Lexicon.of(["ไป"])).process(spark.range(1001).select(F.lit("a").alias("text")), limited=True)
+    b = F.array(F.lit(0), F.lit(2), F.lit(5))
+    steps = spark.range(1).select(text.next_boundary(b, 2).alias("a"), text.previous_boundary(b, 2).alias("b"), text.next_boundary(b, 5).alias("c"), text.moved(b, 1, 1).alias("d"), text.current_boundary(b, 5).alias("e")).first()
+    assert tuple(steps) == (5, 0, None, None, 5)
+    (tmp_path / "pairs").mkdir()
+    for name, n in (("b.tsv", 7), ("a.tsv", 2)):
+        (tmp_path / "pairs" / name).write_text(f"x\ty\t{n}\n", encoding="utf-8")
+    assert sources.model_bigrams(sources.read_bigrams(spark, str(tmp_path / "pairs"))).counts == {("x", "y"): 7.0}
+
+
+def test_a_long_prefix_lexicon_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(lexicons, "SENT_WORDS", 0)
+    rows = spark.createDataFrame([("การบ้าน",), ("",), (None,)], "text string")
+    found = lexicons.prefixes_in(rows, sources.from_words(spark, {"การ": 1.0, "บ้าน": 2.0, "การบ้าน": 3.0}))
+    assert sorted((r["start"], r["word"]) for r in found.collect()) == [(0, "การ"), (0, "การบ้าน"), (3, "บ้าน")]
+    assert lexicons.prefixes_in(rows, sources.from_words(spark, [])).count() == 0
+
+
 def test_lexicon_operators(spark):
     words = sources.from_words(spark, ["แมว", "แมวน้ำ", "หมา"])
     set_to = lambda w, x: {r["word"]: r["weight"] for r in lexicons.set_weights(words, sources.from_words(spark, {w: x})).collect()}
