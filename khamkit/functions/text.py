@@ -8,12 +8,13 @@ sees a null for them. Null in, null out, for every function.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import replace
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khamkit.functions import clusters, linebreak, markup, normalize, segment
@@ -61,6 +62,23 @@ def by_script(text: Column | str, native: Column, thai: Callable[[Column], Colum
     return F.when(has, thai(F.when(has, c))).otherwise(native)
 
 
+def sent(model: Model) -> Callable[[], Model]:
+    """A way to the model on workers: broadcast once for each context, or along with the function where no session runs."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return lambda: model
+    key = (session.sparkContext.applicationId, id(model))
+    if key not in _SENT:
+        _SENT[key] = session.sparkContext.broadcast(model)
+        weakref.finalize(model, _SENT.pop, key, None)
+    shared = _SENT[key]
+    return lambda: shared.value
+
+
+#: Broadcasts of models that are in use.
+_SENT: dict[tuple[str, int], object] = {}
+
+
 class TextFunctions:
     """Columns over one pair of lexicons: ``words`` for tokens, ``lines`` for line breaks (the same if not given)."""
 
@@ -81,64 +99,64 @@ class TextFunctions:
 
     def spans(self, text: Column | str) -> Column:
         """All tokens with their places in code points, blanks included; is_oov tells guessed ones."""
-        model = self.model
+        model = sent(self.model)
 
         def call(t: str) -> list[dict]:
-            return [{"start": s.start, "end": s.end, "token": t[s.start : s.end], "is_oov": s.unknown} for s in segment.spans(t, model)]
+            return [{"start": s.start, "end": s.end, "token": t[s.start : s.end], "is_oov": s.unknown} for s in segment.spans(t, model())]
 
         return mapped(call, SPANS, text)
 
     def tokens(self, text: Column | str, keep_whitespace: bool = False) -> Column:
-        model = self.model
+        model = sent(self.model)
         native = plain_tokens(text, whole=True) if keep_whitespace else plain_words(text)
-        return by_script(text, native, lambda c: mapped(lambda t: segment.words(t, model, keep_whitespace), "array<string>", c))
+        return by_script(text, native, lambda c: mapped(lambda t: segment.words(t, model(), keep_whitespace), "array<string>", c))
 
     words = tokens
 
     def lattice_tokens(self, text: Column | str) -> Column:
         """Tokens by the lattice alone, also where it isn't needed; for tests and comparisons."""
-        model = self.model
-        return mapped(lambda t: [t[s.start : s.end] for s in segment.lattice_spans(t, model) if not segment.blank(t[s.start : s.end])], "array<string>", text)
+        model = sent(self.model)
+        return mapped(lambda t: [t[s.start : s.end] for s in segment.lattice_spans(t, model()) if not segment.blank(t[s.start : s.end])], "array<string>", text)
 
     def join(self, text: Column | str, separator: str = "|") -> Column:
         return F.array_join(self.tokens(text), separator)
 
     def boundaries(self, text: Column | str, unit: str = "char") -> Column:
         """Offsets of token boundaries from 0 to the text's length, in code points, bytes or UTF-16 units."""
-        model, size = self.model, UNITS[unit]
+        model, size = sent(self.model), UNITS[unit]
 
         def call(t: str) -> list[int]:
-            return list(accumulate((size(t[s.start : s.end]) for s in segment.spans(t, model)), initial=0))
+            return list(accumulate((size(t[s.start : s.end]) for s in segment.spans(t, model())), initial=0))
 
         return mapped(call, "array<int>", text)
 
     def html_words(self, text: Column | str, keep_whitespace: bool = False) -> Column:
         """Tokens of the text between markup."""
-        model = self.model
+        model = sent(self.model)
 
         def call(t: str) -> list[str]:
             out, last = [], 0
             for start, end in [*markup.markup_spans(t), (len(t), len(t))]:
-                out += segment.words(t[last:start], model, keep_whitespace)
+                out += segment.words(t[last:start], model(), keep_whitespace)
                 last = end
             return out
 
         return mapped(call, "array<string>", text)
 
     def lines(self, text: Column | str, marker: str = linebreak.ZWSP, is_html: bool = False) -> Column:
-        model, table = self.line_model, self.table
-        return mapped(lambda t: linebreak.lines(t, model, table, marker, is_html), "string", text)
+        model, table = sent(self.line_model), self.table
+        return mapped(lambda t: linebreak.lines(t, model(), table, marker, is_html), "string", text)
 
     def segments(self, text: Column | str) -> Column:
-        model, table = self.line_model, self.table
-        return mapped(lambda t: linebreak.segments(t, model, table), "array<string>", text)
+        model, table = sent(self.line_model), self.table
+        return mapped(lambda t: linebreak.segments(t, model(), table), "array<string>", text)
 
     def break_actions(self, text: Column | str, dictionary: bool = True) -> Column:
         """The action before each place of a text: 0 none, 1 allowed, 2 mandatory."""
-        model, table = self.line_model, self.table
+        model, table = sent(self.line_model), self.table
 
         def call(t: str) -> list[int]:
-            ends = {s.end for s in segment.spans(t, model)} if dictionary else None
+            ends = {s.end for s in segment.spans(t, model())} if dictionary else None
             return linebreak.break_actions(t, table, [k in ends for k in range(len(t) + 1)] if ends is not None else None)
 
         return mapped(call, "array<tinyint>", text)
@@ -153,19 +171,19 @@ class TextFunctions:
         return mapped(lambda a, b: linebreak.can_break_between(a, b, table), "boolean", left, right)
 
     def wrap(self, text: Column | str, width: int = 80, is_html: bool = False, cut_long_words: bool = False, separator: str = "\n") -> Column:
-        model, table = self.line_model, self.table
-        return mapped(lambda t: linebreak.wrap(t, width, model, table, is_html, cut_long_words, separator), "string", text)
+        model, table = sent(self.line_model), self.table
+        return mapped(lambda t: linebreak.wrap(t, width, model(), table, is_html, cut_long_words, separator), "string", text)
 
     def normalize(self, text: Column | str, check_lexicon: bool = False, **steps: bool) -> Column:
-        options, lexicon = normalize.Normalization(**steps), self.model.lexicon if check_lexicon else None
+        options, model = normalize.Normalization(**steps), sent(self.model) if check_lexicon else None
         # Without Thai letters only characters without width can change.
         native = F.translate(text, normalize.ZERO_WIDTH, "") if options.remove_zero_width else column(text)
-        return by_script(text, native, lambda c: mapped(lambda t: normalize.normalized(t, options, lexicon), "string", c))
+        return by_script(text, native, lambda c: mapped(lambda t: normalize.normalized(t, options, model().lexicon if model else None), "string", c))
 
     def prefixes(self, text: Column | str, start: int = 0, most: int = segment.LONGEST) -> Column:
         """Lexicon words that begin at ``start``, shortest first."""
-        lexicon = self.model.lexicon
-        return mapped(lambda t: [{"word": t[start:e], "weight": w} for e, w in lexicon.beginning(t, start, most)], "array<struct<word: string, weight: double>>", text)
+        model = sent(self.model)
+        return mapped(lambda t: [{"word": t[start:e], "weight": w} for e, w in model().lexicon.beginning(t, start, most)], "array<struct<word: string, weight: double>>", text)
 
     def compare(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with words and break opportunities side by side."""

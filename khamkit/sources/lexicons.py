@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from khamkit.functions.segment import Bigrams, Lexicon
 
 LEXICON = T.StructType([T.StructField("word", T.StringType()), T.StructField("weight", T.DoubleType())])
-#: The most words (or word pairs) that are sent to executors with a model.
-MOST_WORDS = 5_000_000
+#: The most words (or word pairs), and the most bytes of them, that are sent to executors with a model.
+MOST_WORDS, MOST_BYTES = 5_000_000, 100_000_000
 #: The setting that names the default lexicon; beside it, weights.tsv and bigrams.tsv are read if they are there.
 DEFAULT_KEY = "spark.khamkit.lexicon.path"
 PACKAGED = Path(__file__).with_name("basic_words.txt")
@@ -155,10 +155,11 @@ def read_bigrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bounded(rows: DataFrame, what: str) -> list:
-    """The rows, after a check that they are few enough to travel with a model."""
-    n = rows.count()
-    if n > MOST_WORDS:
-        raise ValueError(f"{n} {what} are more than the {MOST_WORDS} that a model may hold")
+    """The rows, after a check that they are few and short enough to travel with a model."""
+    sizes = [F.octet_length(c) for c, kind in rows.dtypes if kind == "string"]
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0))).first()
+    if n > MOST_WORDS or size > MOST_BYTES:
+        raise ValueError(f"{n} {what} of {size} bytes are more than the {MOST_WORDS} of {MOST_BYTES} bytes that a model may hold")
     return rows.collect()
 
 
