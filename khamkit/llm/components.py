@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         for hop in "ab":
             best = followed(best, labels, total, tables, f"{turn}{hop}")
         turn += 1
-        now = tables.held(best, str(turn))
+        # A small graph needs few files.
+        now = tables.held(best.coalesce(1 + total // 50_000) if total <= FEW else best, str(turn))
         settled = now.where("old <> root").isEmpty()
         for done in (str(turn - 1), *(f"{turn - 1}{hop}{part}" for hop in "ab" for part in ("", "hop"))):
             tables.drop(done)
