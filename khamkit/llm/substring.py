@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from khamkit.llm.common import map_batches, mixed, multipliers, partitions, rolled, texts
+from khamkit.llm.common import Tables, map_batches, mixed, multipliers, partitions, rolled, texts
 
 WIDTH = 13
 RUN = 8
@@ -43,6 +43,8 @@ SLICES = 64
 #: Cells of a row of the sketch that finds frequent windows.
 HEAVY_CELLS = 1 << 14
 SALTS = 64
+#: Ids of documents that lose words are broadcast up to so many (64 MB).
+MOST_IDS = 8_000_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -219,30 +221,57 @@ def tag(text: bytes, tagged: bool) -> int:
     return zlib.crc32(text) >> 1 << 32 if tagged else 0
 
 
-def cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def stretches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The places of windows as stretches of words: starts and ends, unsigned 32-bit numbers by turns."""
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, places in zip(texts(batch.column(0)), batch.column(1), strict=True):
-                words = text.split()
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if places.is_valid:
-                    at = np.asarray(places.values)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + width, -1)
-                left = np.cumsum(gone[:-1]) == 0
-                n_words.append(len(words))
-                n_removed.append(len(words) - int(left.sum()))
-                kept.append(b" ".join(words if left.all() else [words[k] for k in np.flatnonzero(left).tolist()]))
-            rest = [batch.column(k) for k in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(0), *rest],
-                names=["n_words", "n_removed", "kept_text", "text", *batch.schema.names[2:]],
-            )
+            out = []
+            for places in batch.column(2):
+                at = np.sort(np.asarray(places.values))
+                first = np.flatnonzero(np.diff(at, prepend=at[0] - width - 1) > width)
+                last = np.append(first[1:] - 1, len(at) - 1)
+                out.append(np.stack([at[first], at[last] + width], axis=1).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["gone_id", "gone_tag", "gone"])
 
     return call
 
 
+def with_stretches(rows: DataFrame, gone: DataFrame, most: int) -> DataFrame:
+    """``rows`` (id, tag) with ``gone``, null where nothing goes.
+
+    Where at most ``most`` texts lose words, only these are shuffled: their ids
+    are broadcast, and all other rows stay where they are. Beyond that every row
+    with an id is shuffled; rows without lose nothing and would meet in one task.
+    """
+    on = (F.col("id") == F.col("gone_id")) & (F.col("tag") == F.col("gone_tag"))
+    if gone.count() <= most:
+        ids = F.broadcast(gone.select(F.col("gone_id").alias("id")).distinct())
+        some, others = rows.join(ids, "id", "left_semi"), rows.join(ids, "id", "left_anti")
+    else:
+        some, others = rows.where("id IS NOT NULL"), rows.where("id IS NULL")
+    return some.join(gone, on, "left").select(*rows.columns, "gone").unionByName(others.withColumn("gone", F.lit(None).cast("binary")))
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts and the words left, of rows (text, gone, ...)."""
+    for batch in batches:
+        n_words, n_removed, kept = [], [], []
+        for text, gone in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            words = text.split()
+            left = np.ones(len(words), dtype=bool)
+            for start, stop in np.frombuffer(gone or b"", dtype="<u4").reshape(-1, 2).tolist():
+                left[start:stop] = False
+            n_words.append(len(words))
+            n_removed.append(len(words) - int(left.sum()))
+            kept.append(b" ".join(words if left.all() else [words[k] for k in np.flatnonzero(left).tolist()]))
+        rest = [batch.column(k) for k in range(2, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(0), *rest],
+            names=["n_words", "n_removed", "kept_text", "text", *batch.schema.names[2:]],
+        )
+
+
 def merged_sketch(docs: DataFrame, width: int, text: str) -> tuple[list[bytes], np.ndarray, int, int]:
     """Bits of the merged sketch's rows, counts of frequent windows, the count that makes one hot, and the shift."""
     spark = docs.sparkSession
@@ -292,18 +321,17 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
         lows = ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
         late = ends.join(lows, ["h1", "h2"]).where("doc_id > low")
         gone = gone.union(late.select("doc_id", "place"))
-    # The places of one text: rows of an id with other texts have lists of their own.
+    # The places of one text: rows of an id with other texts have places of their own.
     part = F.shiftright(F.col("place"), 32).alias("gone_tag")
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), part).agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), part).agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("places"))
+    gone = Tables(spark).held(gone.mapInArrow(stretches(width), "gone_id long, gone_tag long, gone binary"), "gone")
     kinds = dict(docs.dtypes)
     held = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
     own = F.shiftright(F.crc32(F.coalesce(F.col(text), F.lit(""))), 1) if tagged else F.lit(0)
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"), *held, own.cast("long").alias("tag"))
     columns = ["text", "gone", "id", *(f"c{i}" for i in range(len(rest)))]
-    joined = rows.where("id IS NOT NULL").join(gone, (F.col("id") == F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left").select(columns)
-    # Rows without id lose nothing and would all meet in one task.
-    joined = joined.unionByName(rows.where("id IS NULL").withColumn("gone", F.lit(None).cast("array<long>")).select(columns))
+    joined = with_stretches(rows, gone, MOST_IDS).select(columns)
     schema = f"n_words long, n_removed long, kept_text string, text string, id {kinds[doc_id]}" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(rest))
-    cut_rows = joined.mapInArrow(cut(width), schema)
+    cut_rows = joined.mapInArrow(cut, schema)
     back = {doc_id: F.col("id"), text: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
     return cut_rows.select(*[back[c].alias(c) for c in docs.columns if c not in made], "n_words", "n_removed", "kept_text")
