@@ -50,6 +50,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.printed("edited_sketch").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "in_edited",
+        "distinct_shingles",
     )
 
 

@@ -137,7 +137,7 @@ def likeness(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     """Streams rows in order; a row is answered once the next has come. Guests only serve as the next."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "near_edited", "near_next", "in_edited", "distinct_shingles"]
         kind = None
         held: tuple | None = None
 
@@ -145,10 +145,10 @@ def likeness(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             doc_id, text, own = now
             new = edited(text, after[1]).encode()
             other = sketch(new.split(), width, k)
-            return doc_id, len(text), hashlib.sha256(new).hexdigest(), stored(own), stored(other), resemblance(own, other, k), resemblance(own, after[2], k)
+            return doc_id, len(text), hashlib.sha256(new).hexdigest(), stored(own), stored(other), resemblance(own, other, k), resemblance(own, after[2], k), containment(own, other, k), distinct(own, k)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [kind, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+            kinds = [kind, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
         for batch in batches:
@@ -174,6 +174,9 @@ def likeness(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def likeness_to_next(docs: DataFrame, width: int = WIDTH, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sketches of each text and of its edited text, and their likeness, also to the next document's.
 
+    ``in_edited`` is the share of the text's shingles that the edited text holds,
+    ``distinct_shingles`` their number, both estimated.
+
     The next document has the next smaller id; after the last comes the first.
     Null ids come last, rows of one id by a hash of their texts. Null text is
     empty. Every row gives a row; an empty table gives none.
@@ -198,7 +201,7 @@ def likeness_to_next(docs: DataFrame, width: int = WIDTH, k: int = K, doc_id: st
     dealt = rows.select("doc_id", "text", "tie", F.explode(to).alias("to")).select("doc_id", "text", "tie", "to.part", "to.guest")
     dealt = dealt.repartitionById(len(marks.value[0]) + 1, F.col("part")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     kind = dict(docs.dtypes)[doc_id]
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double, in_edited double, distinct_shingles double"
     return dealt.select("doc_id", "text", "guest").mapInArrow(likeness(width, k), schema)
 
 
