@@ -32,7 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; of rows of that id the first by text.
 
-    Documents without id can't be told apart and stay.
+    Pairs whose fingerprints are within the radius or share a sample pass the tables of distances to references,
+    then the comparison of bits, then that of shingles. Documents without id can't be told apart and stay.
     """
     found = near_duplicates(docs, width=WIDTH, lanes=LANES, samples=SAMPLES)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()

@@ -19,9 +19,12 @@ One fingerprint finds texts that are all but equal. Where near copies of a
 similarity of 0.8 or more matter, a text gets a few independent fingerprints
 (lanes) from remixed hashes of its different shingles, and sampled ones: each
 is the fingerprint of the few shingles that come first in an order of its own.
-A sampled fingerprint that agrees proposes a pair, lanes that differ in far more
-bits than that similarity means discard it, and what is left is verified by the
-different shingles that both texts have. Only verified pairs link.
+Pairs come from first lanes within the radius, as above, and from sampled
+fingerprints that agree. Tables of distances discard those whose lanes differ in
+far more bits than that similarity means, survivors are compared bit by bit, and
+what is left is verified by the different shingles that both texts have. Only
+verified pairs link. At so wide a radius distances of whole fingerprints to
+references discard nothing; those of their bytes, added up, discard nearly all.
 """
 
 from __future__ import annotations
@@ -52,6 +55,13 @@ SIMILAR = (4, 5)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: References of the distance tables.
 PIVOTS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: References of the tables for lanes: fingerprints that repeat a byte, all of which differ from each other in four bits.
+REFERENCES = np.array([0x00, 0x55, 0x33, 0x66, 0x0F, 0x5A, 0x3C, 0x69], dtype=np.uint8)
+#: The distance of each byte to each reference, and for two bytes (the first times 256, and the second) how far theirs are apart at most.
+DISTANCES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ REFERENCES).astype(np.int8)
+APART = np.abs(DISTANCES[:, None] - DISTANCES).max(axis=2).astype(np.uint8).ravel()
+#: Pairs whose bytes are looked up at once.
+PAIRS = 4096
 SAMPLE_ORDERS = mixed(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -279,9 +289,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
     distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first"), rep, F.count(F.lit(1)).alias("n")).withColumn("node", node()))
     spread = distinct.select("node", F.posexplode("fps").alias("lane", "fp"))
     if samples:
-        reached = checkpointed(verified(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), distinct, sampled_edges(spread, distinct, lanes), width, lanes))
+        proposed = lane_edges(spread.where("lane = 0"), several=True).union(sampled_edges(spread, distinct, lanes))
+        reached = checkpointed(verified(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), distinct, proposed, width, lanes))
     else:
-        reached = components(lane_edges(spread, lanes))
+        reached = components(lane_edges(spread, several=lanes > 1))
     # Only linked nodes ask for the smallest id of their component; of the others each is its own.
     own = distinct.select("node", "first", "n")
     linked_ = checkpointed(own.join(reached, "node"))
@@ -293,8 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, samples: in
     return found.select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
-def lane_edges(spread: DataFrame, lanes: int) -> DataFrame:
-    """Edges (a, b) that join the nodes (node, lane, fp) within the radius in any lane into their components."""
+def lane_edges(spread: DataFrame, several: bool) -> DataFrame:
+    """Edges (a, b) that join the nodes (node, lane, fp) within the radius in any lane into their components.
+
+    ``several`` tells that a node has further fingerprints, so nodes may share one.
+    """
     # The first node of each fingerprint stands for all that share it.
     held = checkpointed(spread.groupBy("lane", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
     found = links(held.select("lane", "fp"))
@@ -302,9 +316,10 @@ def lane_edges(spread: DataFrame, lanes: int) -> DataFrame:
         rep = held.select("lane", F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
         found = found.join(rep, ["lane", end])
     edges = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    if lanes > 1:
-        shared = spread.join(held.where("n > 1").select("lane", "fp", "rep"), ["lane", "fp"]).where("node <> rep")
-        edges = edges.union(shared.select("node", "rep"))
+    if several:
+        key = F.struct("lane", "fp").alias("key")
+        shared = hot_joined(spread.select("node", key), held.where("n > 1").select(key, "rep", "n"), "key", "n", spread.count())
+        edges = edges.union(shared.where("node <> rep").select("node", "rep"))
     return edges
 
 
@@ -331,7 +346,7 @@ def verified(docs: DataFrame, distinct: DataFrame, proposed: DataFrame, width: i
 
     One text of each node goes to the task of its proposed component, which
     holds the shingles of one component at a time and tries all of its pairs
-    but those that sizes or lanes discard or that are already joined.
+    but those that sizes, tables or lanes discard or that are already joined.
     """
     share, of = SIMILAR
 
@@ -347,7 +362,8 @@ def verified(docs: DataFrame, distinct: DataFrame, proposed: DataFrame, width: i
             size = np.array([len(x) for x in sets], dtype=np.int64)
 
             def near(i: np.ndarray, j: np.ndarray, prints: np.ndarray = prints, sets: list[np.ndarray] = sets, size: np.ndarray = size) -> np.ndarray:
-                may = (of * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])) & lanes_agree(prints, i, j)
+                may = of * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])
+                may[may] = lanes_agree(prints, i[may], j[may])
                 for k in np.flatnonzero(may).tolist():
                     both = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
                     may[k] = of * both >= share * (size[i[k]] + size[j[k]] - both)
@@ -399,9 +415,27 @@ def lane_bits(column: pa.ChunkedArray, lanes: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
 
 
+def undiscarded(prints: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs at places ``i`` and ``j`` the tables of distances can't discard.
+
+    By the triangle inequality two bytes differ in no fewer bits than their
+    distances to any reference do, so the sum over the bytes is never too much.
+    """
+    own = np.ascontiguousarray(prints).view(np.uint8)
+    left = [np.zeros(0, dtype=np.int64)]
+    for k in range(0, len(i), PAIRS):
+        both = own[i[k : k + PAIRS]].astype(np.uint16) << 8 | own[j[k : k + PAIRS]]
+        left.append(np.flatnonzero(APART.take(both).sum(axis=1, dtype=np.int64) <= radius) + k)
+    return np.concatenate(left)
+
+
 def lanes_agree(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the lanes at places ``i`` and ``j`` together differ in few enough bits."""
-    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= int(DIFFERING * 64 * prints.shape[1])
+    """Whether the lanes at places ``i`` and ``j`` together differ in few enough bits; only what the tables leave is compared."""
+    radius = int(DIFFERING * 64 * prints.shape[1])
+    agree = np.zeros(len(i), dtype=bool)
+    left = undiscarded(prints, i, j, radius)
+    agree[left] = np.bitwise_count(prints[i[left]] ^ prints[j[left]]).sum(axis=1, dtype=np.int64) <= radius
+    return agree
 
 
 def joined(bucket: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

@@ -209,6 +209,23 @@ def test_simhash_samples_link_by_similarity(spark):
     assert {i: c for i, (c,) in found.items()} == reached(sets, pairs)
 
 
+def test_simhash_tables_for_lanes(spark):
+    """The tables discard no pair within the radius and most pairs beyond; lanes_agree is the comparison of all bits."""
+    pick = np.random.default_rng(51)
+    first = pick.integers(0, 2**64, 3000, dtype=np.uint64, endpoint=False).reshape(-1, 4)
+    flips = np.packbits(pick.random((750, 256)) < np.linspace(0.0, 0.5, 750)[:, None], axis=1).view(np.uint64)
+    prints = np.concatenate([first, first ^ flips])
+    i = np.arange(750)
+    bits = np.array([sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b, strict=True)) for a, b in zip(prints[i], prints[i + 750], strict=True)])
+    assert simhash.lanes_agree(prints, i, i + 750).tolist() == (bits <= 76).tolist()
+    left = set(simhash.undiscarded(prints, i, i + 750, 76).tolist())
+    assert left >= set(np.flatnonzero(bits <= 76).tolist())
+    assert not left & set(np.flatnonzero(bits > 110).tolist())
+    # Unrelated fingerprints.
+    a, b = np.triu_indices(400, 1)
+    assert len(simhash.undiscarded(prints, a, b, 76)) < len(a) / 1000
+
+
 def test_hot_joined(spark):
     """Keys of very many rows are broadcast, the others shuffled; no row is lost or doubled."""
     left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), "id")

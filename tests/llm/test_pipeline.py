@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 import numpy as np
 import pytest
-from samples import clashed
+from samples import clashed, sentence
 
 import __spark_entry__
 import corpus_pipeline as pipeline
-from khamkit.llm import queries
+from khamkit.llm import queries, simhash
 
 
 def test_stages(spark, docs, rows, tmp_path):
@@ -67,6 +68,24 @@ def test_near_dedup_of_repeated_rows(spark):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
 
 
+def test_near_dedup_by_fingerprints(spark, monkeypatch):
+    """Near copies whose fingerprints are within the radius are found though no sample proposes them."""
+    monkeypatch.setattr(pipeline, "SAMPLES", 1)
+    pick = random.Random(61)
+    rows = []
+    for k in range(150):
+        words = sentence(pick, 300).split()
+        rows.append((2 * k, " ".join(words)))
+        words[7 + k] = "edited"
+        rows.append((2 * k + 1, " ".join(words)))
+    prints = {i: simhash.fingerprint(t.encode(), pipeline.WIDTH, pipeline.LANES, 1) for i, t in rows}
+    near = [i for i in range(0, 300, 2) if (prints[i][0] ^ prints[i + 1][0]).bit_count() <= 2]
+    apart = [i for i in near if prints[i][-1] != prints[i + 1][-1]]
+    assert apart
+    kept = {r["doc_id"] for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert all(i in kept and i + 1 not in kept for i in near)
+
+
 DATA = "/root/testdata/sf0.001"
 
 
