@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khamkit.functions import linebreak, markup, normalize, segment
-from khamkit.functions.text import TextFunctions
+from khamkit.functions.text import TextFunctions, batched
 
 
 def register(spark: SparkSession, functions: TextFunctions, prefix: str = "kham_") -> list[str]:
@@ -34,19 +33,9 @@ def register(spark: SparkSession, functions: TextFunctions, prefix: str = "kham_
     for name, (kind, expression) in native.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS {kind} RETURN {expression}")
 
-    def batched(function):
-        def call(texts: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else function(t) for t in texts], dtype=object)
-
-        return call
-
     for name, (kind, function) in plain.items():
-        spark.udf.register(prefix + name, F.pandas_udf(batched(function), kind))
-
-    def wrap(texts: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else linebreak.wrap(t, int(w), line_model, table) for t, w in zip(texts, widths, strict=True)], dtype=object)
-
-    spark.udf.register(f"{prefix}wrap", F.pandas_udf(wrap, "string"))
+        spark.udf.register(prefix + name, batched(function, kind))
+    spark.udf.register(f"{prefix}wrap", batched(lambda t, width: linebreak.wrap(t, width, line_model, table), "string", 2))
 
     class Tokens:
         def eval(self, text: str):

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,22 @@ from khamkit.functions.tokens import plain_tokens, plain_words
 
 THAI_LETTER = r"[฀-๿]"
 SPANS = "array<struct<start: int, end: int, token: string, is_oov: boolean>>"
+SPAN_PAIRS = "array<struct<start: int, end: int>>"
+WEIGHTED = "array<struct<word: string, weight: double>>"
+#: The Arrow type of each kind of result.
+ARROW = {
+    "string": pa.string(),
+    "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()),
+    "array<boolean>": pa.list_(pa.bool_()),
+    "array<tinyint>": pa.list_(pa.int8()),
+    "array<int>": pa.list_(pa.int32()),
+    SPANS: pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("is_oov", pa.bool_())])),
+    SPAN_PAIRS: pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
+    WEIGHTED: pa.list_(pa.struct([("word", pa.string()), ("weight", pa.float64())])),
+}
+#: Rows that are Python objects at a time; the longest text that is remembered, and the most characters of such texts.
+ROWS, SHORT, MOST_HELD = 64, 1_000, 500_000
 UNITS: dict[str, Callable[[str], int]] = {"char": len, "byte": lambda t: len(t.encode()), "utf16": lambda t: len(t.encode("utf-16-le")) // 2}
 #: Limits of a service that takes texts from strangers.
 MOST_CHARS, MOST_MARKER, MOST_ITEMS = 500_000, 16, 1_000
@@ -33,26 +49,49 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def mapped(function: Callable, kind: str, *columns: Column | str) -> Column:
-    """``function`` over Arrow batches of the columns; a row with a null gives null. Equal texts of a batch are done once."""
-
-    def call(*parts: pd.Series) -> pd.Series:
-        done: dict = {}
-        out = []
-        for row in zip(*parts, strict=True):
-            if any(x is None or x is pd.NA for x in row):
-                out.append(None)
-                continue
-            if row not in done:
-                done[row] = function(*row)
-            out.append(done[row])
-        return pd.Series(out, dtype=object)
-
-    arity = len(columns)
-    # A fixed number of series arguments, as the declaration needs.
+def batched(function: Callable, kind: str, arity: int = 1) -> Callable:
+    """``function`` as an Arrow function of so many columns; a row with a null gives null.
+
+    A batch is as large as Spark makes it (64 MB); only a few of its rows are
+    Python objects at a time. Short texts that come again are done once.
+    """
+    arrow = ARROW[kind]
+    done: dict = {}
+    held = 0
+
+    def value(row: tuple) -> object:
+        nonlocal held
+        if any(x is None for x in row):
+            return None
+        if row in done:
+            return done[row]
+        out = function(*row)
+        size = sum(len(x) for x in row if isinstance(x, str))
+        if size <= SHORT:
+            if held > MOST_HELD:
+                done.clear()
+                held = 0
+            # So that many very short texts are bounded too.
+            held += size + 8
+            done[row] = out
+        return out
+
+    def call(*parts: pa.Array) -> pa.Array:
+        pieces = [pa.array([], arrow)]
+        for at in range(0, len(parts[0]), ROWS):
+            rows = zip(*(p.slice(at, ROWS).to_pylist() for p in parts), strict=True)
+            pieces.append(pa.array([value(row) for row in rows], arrow))
+        return pa.concat_arrays(pieces)
+
+    # A fixed number of array arguments, as the declaration needs.
     wrapped = {1: lambda a: call(a), 2: lambda a, b: call(a, b)}[arity]
-    wrapped.__annotations__ = dict.fromkeys(wrapped.__code__.co_varnames, pd.Series) | {"return": pd.Series}
-    return F.pandas_udf(wrapped, kind)(*map(column, columns))
+    wrapped.__annotations__ = dict.fromkeys(wrapped.__code__.co_varnames, pa.Array) | {"return": pa.Array}
+    return F.arrow_udf(wrapped, kind)
+
+
+def mapped(function: Callable, kind: str, *columns: Column | str) -> Column:
+    """``function`` over Arrow batches of the columns."""
+    return batched(function, kind, len(columns))(*map(column, columns))
 
 
 def by_script(text: Column | str, native: Column, thai: Callable[[Column], Column]) -> Column:
@@ -183,7 +222,7 @@ class TextFunctions:
     def prefixes(self, text: Column | str, start: int = 0, most: int = segment.LONGEST) -> Column:
         """Lexicon words that begin at ``start``, shortest first."""
         model = sent(self.model)
-        return mapped(lambda t: [{"word": t[start:e], "weight": w} for e, w in model().lexicon.beginning(t, start, most)], "array<struct<word: string, weight: double>>", text)
+        return mapped(lambda t: [{"word": t[start:e], "weight": w} for e, w in model().lexicon.beginning(t, start, most)], WEIGHTED, text)
 
     def compare(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with words and break opportunities side by side."""
@@ -277,7 +316,7 @@ def without_markup(text: Column | str) -> Column:
 
 def markup_spans(text: Column | str) -> Column:
     """(start, end) of comments, scripts, styles, tags and character references."""
-    return mapped(lambda t: [{"start": a, "end": b} for a, b in markup.markup_spans(t)], "array<struct<start: int, end: int>>", text)
+    return mapped(lambda t: [{"start": a, "end": b} for a, b in markup.markup_spans(t)], SPAN_PAIRS, text)
 
 
 def escaped(text: Column | str) -> Column:
