@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from khamkit.functions.chars import WHITE_SPACE
+
 
 def word_counts(tokens: DataFrame, lexicon: DataFrame | None = None, token: str = "token") -> DataFrame:
     """(word, n) of tokens, of those the lexicon has if one is given.
@@ -27,20 +34,23 @@ def word_weights(counts: DataFrame, n: int, exponent: float = 0.5) -> DataFrame:
     return best.select("word", F.round(F.pow(F.col("n") / F.lit(least or 1), F.lit(exponent)), 4).alias("weight"))
 
 
-def spans(chunks: DataFrame, words: str = "words") -> DataFrame:
-    """(chunk_id, start, end, word) of arrays of words."""
-    rows = chunks.select("chunk_id", F.posexplode(words).alias("pos", "word"))
-    order = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("word")).over(order)
-    return rows.select("chunk_id", (end - F.length("word")).alias("start"), end.alias("end"), "word")
+def solid(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch of rows without white space, none of them empty, and their number in each row."""
+    flat = pc.replace_substring_regex(pc.fill_null(words.flatten(), ""), f"[{WHITE_SPACE}]", "")
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return flat.filter(pa.array(full)), np.bincount(np.repeat(np.arange(len(words)), sizes)[full], minlength=len(words))
 
 
-def comparable(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(chunk_id, gold, pred) of chunks whose texts agree but for white space."""
-    same = lambda c: F.regexp_replace(F.array_join(c, ""), r"[\p{IsWhite_Space}]", "")
-    solid = lambda c: F.filter(F.transform(c, lambda w: F.regexp_replace(w, r"[\p{IsWhite_Space}]", "")), lambda w: w != "")
-    both = gold.select("chunk_id", F.col("words").alias("gold")).join(pred.select("chunk_id", F.col("words").alias("pred")), "chunk_id")
-    return both.where(same(F.col("gold")) == same(F.col("pred"))).select("chunk_id", solid(F.col("gold")).alias("gold"), solid(F.col("pred")).alias("pred"))
+def rows_of(flat: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+
+
+def comparable(gold: pa.ListArray, pred: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Gold and predicted words without white space; rows whose texts differ beyond that have none."""
+    both = solid(gold), solid(pred)
+    same = pc.equal(*(pc.binary_join(rows_of(*x), "") for x in both)).to_numpy(zero_copy_only=False)
+    return tuple(rows_of(flat.filter(pa.array(np.repeat(same, sizes))), sizes * same) for flat, sizes in both)
 
 
 def rates(hits: str, gold: str, pred: str) -> list:
@@ -49,37 +59,109 @@ def rates(hits: str, gold: str, pred: str) -> list:
     return [p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1")]
 
 
+def placed(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a batch's words in the text of all its rows, one after another."""
+    sizes = pc.utf8_length(words.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    return ends - sizes, ends
+
+
+def found_in(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each place, where the ascending ``others`` have it; -1 if nowhere."""
+    at = np.searchsorted(others, places)
+    there = at < len(others)
+    there[there] = others[at[there]] == places[there]
+    return np.where(there, at, -1)
+
+
+def right(gold: pa.ListArray, pred: pa.ListArray) -> np.ndarray:
+    """Whether each gold word's span is one of the prediction's.
+
+    The rows' texts agree and no word is empty, so places in all the batch's
+    text compare, and an end belongs to one word.
+    """
+    (gold_starts, gold_ends), (pred_starts, pred_ends) = placed(gold), placed(pred)
+    at = found_in(gold_ends, pred_ends)
+    out = at >= 0
+    out[out] = pred_starts[at[out]] == gold_starts[out]
+    return out
+
+
+def parts(words: pa.ListArray) -> np.ndarray:
+    """Where the rows' words begin in the flat array, and its size."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))])
+
+
+def sums(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each row's words are marked."""
+    total = np.concatenate([[0], np.cumsum(marks)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+COUNTED = ("word_gold", "word_pred", "word_hits", "boundary_gold", "boundary_pred", "boundary_hits")
+
+
+def counted(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """Words, boundaries and hits of each row."""
+    gold, pred = comparable(gold, pred)
+    of_gold, of_pred = parts(gold), parts(pred)
+    n_gold, n_pred = np.diff(of_gold), np.diff(of_pred)
+    inside = np.ones(of_gold[-1], dtype=bool)
+    inside[of_gold[:-1][n_gold > 0]] = False
+    also = inside & (found_in(placed(gold)[0], placed(pred)[0]) >= 0)
+    columns = [n_gold, n_pred, sums(right(gold, pred), of_gold), n_gold - (n_gold > 0), n_pred - (n_pred > 0), sums(also, of_gold)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTED)
+
+
+def wrong(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """The gold words of each row whose spans the prediction lacks."""
+    gold, pred = comparable(gold, pred)
+    bad = ~right(gold, pred)
+    return rows_of(gold.flatten().filter(pa.array(bad)), sums(bad, parts(gold)))
+
+
+def compared(gold: DataFrame, pred: DataFrame, function: Callable, kind: str) -> DataFrame:
+    """(chunk_id, found): ``function`` over Arrow batches of the words of each chunk, which it compares inside the row."""
+    call = lambda gold, pred: function(gold, pred)
+    call.__annotations__ = {"gold": pa.Array, "pred": pa.Array, "return": pa.Array}
+    both = gold.select("chunk_id", F.col("words").alias("gold")).join(pred.select("chunk_id", F.col("words").alias("pred")), "chunk_id")
+    return both.select("chunk_id", F.arrow_udf(call, kind)("gold", "pred").alias("found"))
+
+
 def score(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Two rows, of words and of boundaries: kind, n_gold, n_pred, hits, precision, recall, f1.
 
     A word is right if its span is; boundaries are the ends inside a chunk.
+    Chunks whose texts differ, but for white space, don't count.
     """
-    both = comparable(gold, pred)
-    g, p = spans(both, "gold"), spans(both, "pred")
-    keyed = g.select("chunk_id", "start", "end", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(p.select("chunk_id", "start", "end", F.lit(0).alias("g"), F.lit(1).alias("p")))
-    words = keyed.groupBy("chunk_id", "start", "end").agg(F.max("g").alias("g"), F.max("p").alias("p")).select(F.lit("word").alias("kind"), "g", "p")
-    inner = keyed.groupBy("chunk_id", "start").agg(F.max("g").alias("g"), F.max("p").alias("p")).where("start > 0").select(F.lit("boundary").alias("kind"), "g", "p")
-    sums = words.unionByName(inner).groupBy("kind").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum(F.col("g") * F.col("p")).alias("hits"))
-    return sums.select("kind", "n_gold", "n_pred", "hits", *rates("hits", "n_gold", "n_pred"))
+    rows = compared(gold, pred, counted, f"struct<{', '.join(f'{c}: long' for c in COUNTED)}>")
+    total = rows.agg(*[F.sum(f"found.{c}").alias(c) for c in COUNTED])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_gold").alias("n_gold"), F.col(f"{k}_pred").alias("n_pred"), F.col(f"{k}_hits").alias("hits")) for k in ("word", "boundary")])
+    both = total.select(F.explode(kinds).alias("k")).select("k.*").where("n_gold + n_pred > 0")
+    return both.select("kind", "n_gold", "n_pred", "hits", *rates("hits", "n_gold", "n_pred"))
 
 
 def missed(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Gold words whose spans the prediction lacks: chunk_id, word."""
-    both = comparable(gold, pred)
-    return spans(both, "gold").join(spans(both, "pred"), ["chunk_id", "start", "end"], "left_anti").select("chunk_id", "word")
+    return compared(gold, pred, wrong, "array<string>").select("chunk_id", F.explode("found").alias("word"))
+
+
+def missed_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(word, n) of missed words; they are counted before they meet a lexicon."""
+    return missed(gold, pred).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def error_causes(gold: DataFrame, pred: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(cause, n) of missed words: not Thai, in the lexicon, or not in it."""
-    wrong = missed(gold, pred).join(lexicon.select("word", F.lit(True).alias("listed")), "word", "left")
+    rows = missed_counts(gold, pred).join(lexicon.select("word", F.lit(True).alias("listed")), "word", "left")
     cause = F.when(~F.col("word").rlike(r"[฀-๿]"), "non_thai").when(F.col("listed"), "in_lexicon").otherwise("not_in_lexicon")
-    return wrong.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(cause.alias("cause")).agg(F.sum("n").alias("n"))
 
 
 def unknown_words(gold: DataFrame, pred: DataFrame, lexicon: DataFrame, n: int = 30) -> DataFrame:
     """The ``n`` most frequent missed words that the lexicon lacks, ties by word."""
-    rows = missed(gold, pred).join(lexicon.select("word"), "word", "left_anti").where(F.col("word").rlike(r"[฀-๿]"))
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    rows = missed_counts(gold, pred).join(lexicon.select("word"), "word", "left_anti").where(F.col("word").rlike(r"[฀-๿]"))
+    return top(rows, n)
 
 
 def without_overlap(chunks: DataFrame, seen: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -232,3 +235,39 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["value"] for r in spark.sql("SELECT * FROM joined_lines").collect()) == ["home", "เขา|ไป"]
+
+
+def test_scores_stay_in_rows(spark):
+    """Scoring against sets of spans by brute force, over random splits; words aren't shuffled before they are counted."""
+    rng = random.Random(5)
+
+    def split(t):
+        cuts = sorted({0, len(t), *(rng.randrange(len(t) + 1) for _ in range(3))})
+        return [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] or []
+
+    texts = ["".join(rng.choice("กขa😀 ") for _ in range(rng.randrange(9))) for _ in range(300)]
+    rows = [(k, split(t), split(t if rng.random() < 0.9 else t + "x")) for k, t in enumerate(texts)]
+    rows.append((len(rows), ["ก", None, ""], ["ก"]))
+    df = spark.createDataFrame(rows, "chunk_id long, gold array<string>, pred array<string>")
+    gold, pred = df.selectExpr("chunk_id", "gold AS words"), df.selectExpr("chunk_id", "pred AS words")
+
+    def places(ws):
+        ws = [w for w in ("".join((w or "").split()) for w in ws) if w]
+        ends = list(itertools.accumulate(map(len, ws)))
+        return [(e - len(w), e, w) for e, w in zip(ends, ws, strict=True)]
+
+    want, bad = collections.Counter(), collections.Counter()
+    for _, g, p in rows:
+        g, p = places(g), places(p)
+        if "".join(w for *_, w in g) != "".join(w for *_, w in p):
+            continue
+        inner = [{a for a, *_ in x if a} for x in (g, p)]
+        want.update({"word": len(set(g) & set(p)), "n_word": len(g), "boundary": len(inner[0] & inner[1]), "n_boundary": len(inner[0]), "p_boundary": len(inner[1])})
+        bad.update(w for a, b, w in g if (a, b, w) not in p)
+    score = {r["kind"]: r for r in corpus.score(gold, pred).collect()}
+    assert (score["word"]["hits"], score["word"]["n_gold"]) == (want["word"], want["n_word"])
+    assert (score["boundary"]["hits"], score["boundary"]["n_gold"], score["boundary"]["n_pred"]) == (want["boundary"], want["n_boundary"], want["p_boundary"])
+    missed = corpus.missed(gold, pred)
+    assert collections.Counter(r["word"] for r in missed.collect()) == bad
+    assert "Window" not in missed._jdf.queryExecution().toString()
+    assert corpus.score(gold.limit(0), pred).count() == 0
