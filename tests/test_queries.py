@@ -271,3 +271,23 @@ def test_scores_stay_in_rows(spark):
     assert collections.Counter(r["word"] for r in missed.collect()) == bad
     assert "Window" not in missed._jdf.queryExecution().toString()
     assert corpus.score(gold.limit(0), pred).count() == 0
+
+
+def test_percentiles_are_exact_and_spread(spark):
+    """As Spark's exact aggregate gives them, over ties, negatives, infinities and few rows; not all values meet in a task."""
+    rng = random.Random(9)
+    columns = [
+        [rng.expovariate(1) for _ in range(20_000)],
+        [float(rng.randrange(3)) for _ in range(5_000)],
+        [-rng.random() * 1e300 for _ in range(999)] + [math.inf, -math.inf, None],
+        [7.0],
+        [1.0, 2.0],
+        [],
+    ]
+    for column in columns:
+        df = spark.createDataFrame([(x,) for x in column], "seconds double").repartition(4)
+        want = df.agg(*[F.percentile("seconds", q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
+        assert corpus.latency(df).collect() == want.collect()
+    whole = corpus.latency(spark.range(1001).selectExpr("cast(id as decimal(10, 2)) as seconds")).first()
+    assert tuple(whole) == (500.0, 900.0, 950.0, 990.0)
+    assert "percentile(" not in corpus.latency(spark.range(9).selectExpr("id as seconds"))._jdf.queryExecution().toString()
