@@ -291,3 +291,25 @@ def test_percentiles_are_exact_and_spread(spark):
     whole = corpus.latency(spark.range(1001).selectExpr("cast(id as decimal(10, 2)) as seconds")).first()
     assert tuple(whole) == (500.0, 900.0, 950.0, 990.0)
     assert "percentile(" not in corpus.latency(spark.range(9).selectExpr("id as seconds"))._jdf.queryExecution().toString()
+
+
+def test_files_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    """Lines of files that are read in many blocks have their numbers, and chunks go on across blocks and pieces."""
+    monkeypatch.setattr(corpora, "PIECE", 7)
+    lines = {f: [("" if k % 5 == f % 5 else f"w{f}-{k}") for k in range(300 + f)] for f in (1, 2)}
+    for f, own in lines.items():
+        (tmp_path / f"{f}.txt").write_bytes("".join(f"{w}\tNN{chr(13) if k % 3 else ''}\n" if w else "\n" for k, w in enumerate(own)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = corpora.numbered(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 2
+        got = {}
+        for r in rows.collect():
+            got.setdefault(int(r["file"][-5]), {})[r["line_no"]] = r["value"].split("\t")[0]
+        assert got == {f: dict(enumerate(own)) for f, own in lines.items()}
+        chunks = [tuple(r["words"]) for r in corpora.lst20_chunks(rows).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [tuple(g) for own in lines.values() for solid, g in itertools.groupby(own, bool) if solid]
+    assert sorted(chunks) == sorted(want)
+    assert "wholetext" not in rows._jdf.queryExecution().toString()
